@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import quality_rules
+from rasterloom.llm import quality_rules, simhash_near_dups
 from rasterloom.llm.common import table
 
 
@@ -15,7 +16,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_near_dups.near_dups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_near_dups.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op10_simhash_near_dups": op10_simhash_near_dups,
 }
 SQL: dict[str, str] = {}
