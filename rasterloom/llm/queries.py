@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import quality_rules, simhash_near_dups
+from rasterloom.llm import quality_rules, secret_scan, simhash_near_dups
 from rasterloom.llm.common import table
 
 
@@ -16,6 +16,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_near_dups.near_dups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_near_dups.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -23,6 +36,7 @@ def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
 }
 SQL: dict[str, str] = {}
