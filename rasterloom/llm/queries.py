@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import quality_rules, secret_scan, simhash_near_dups
+from rasterloom.llm import decontamination, quality_rules, secret_scan, simhash_near_dups
 from rasterloom.llm.common import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.decide(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -35,8 +47,25 @@ def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
 }
-SQL: dict[str, str] = {}
+_STRICT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_STRICT} AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_STRICT} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM win),
+dg AS (SELECT rid, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+       FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)),
+occ AS (SELECT DISTINCT dg.rid, dg.i, dg.size, win.item FROM dg JOIN win ON dg.g = win.g AND dg.size = win.size),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM occ)) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)""",
+}
