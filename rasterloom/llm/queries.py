@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontamination, quality_rules, secret_scan, simhash_near_dups
+from rasterloom.llm import decontamination, license_scan, quality_rules, secret_scan, simhash_near_dups
 from rasterloom.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -49,11 +54,37 @@ def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
 }
 _STRICT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({i}, '{label}', {has}, {need})" for i, (label, has, need) in enumerate(license_scan.template_sets()))
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, {_STRICT} AS w FROM d),
+phrase AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) x(p, label)),
+pos AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+place AS (SELECT rid, i - 1 AS i, label FROM pos JOIN phrase ON list_slice(w, i, i + len(p) - 1) = p),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY rid),
+tpl AS (SELECT * FROM (VALUES {rows}) x(t, label, has, need)),
+line AS (SELECT rid, unnest(string_split(text, chr(10))) AS text FROM d),
+block AS (SELECT rid, list_distinct({_STRICT}) AS w FROM line),
+held AS (SELECT rid, label, max(len(list_intersect(w, has)) / len(has)) AS score FROM block, tpl WHERE len(list_intersect(w, has)) >= need GROUP BY rid, label),
+bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT rid, label FROM place) GROUP BY rid),
+al AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT rid, label FROM place UNION SELECT rid, label FROM held) GROUP BY rid),
+sc AS (SELECT rid, max(score) AS score FROM held GROUP BY rid)
+SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM d JOIN w USING (rid) LEFT JOIN base USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid) LEFT JOIN sc USING (rid)"""
+
+
 SQL: dict[str, str] = {
+    "op7_license_scan": _license_sql(),
     "op4_decontamination": f"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_STRICT} AS w FROM documents),
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_STRICT} AS w FROM benchmark WHERE item_id IS NOT NULL),
