@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontamination, license_scan, quality_rules, secret_scan, simhash_near_dups
+from rasterloom.llm import decontamination, license_scan, mixing, quality_rules, secret_scan, simhash_near_dups
 from rasterloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -54,6 +58,7 @@ def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op7_license_scan": op7_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
@@ -83,7 +88,37 @@ SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS
 FROM d JOIN w USING (rid) LEFT JOIN base USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid) LEFT JOIN sc USING (rid)"""
 
 
+def _share_sql(name: str, source: str, parents: str, node: str) -> str:
+    """One level of the tree: siblings of source (parents, node, cap, w, b) to their budgets b."""
+    return f"""
+{name}0 AS (SELECT *, CAST(cap AS HUGEINT) * sum(w) OVER (PARTITION BY {parents} ORDER BY cap / w, {node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= CAST(w AS HUGEINT) * (b - coalesce(sum(cap) OVER (PARTITION BY {parents} ORDER BY cap / w, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM {source}),
+{name}1 AS (SELECT *, b - coalesce(sum(CASE WHEN filled THEN cap END) OVER (PARTITION BY {parents}), 0) AS remains, sum(CASE WHEN NOT filled THEN w END) OVER (PARTITION BY {parents}) AS among FROM {name}0),
+{name} AS (SELECT * EXCLUDE (b, filled, remains, among, w), CAST(CASE WHEN filled THEN cap ELSE (CAST(remains AS HUGEINT) * w) // among END AS BIGINT) AS b FROM {name}1)"""
+
+
+def _mixing_sql() -> str:
+    weight = lambda c, ws: f"CAST(CASE {' '.join(f"WHEN {c} = '{k}' THEN {w}" for k, w in ws.items())} ELSE 1 END AS BIGINT)"
+    n = "CAST(nullif(regexp_extract(source, '^src([0-9]{1,9})$', 1), '') AS INT)"
+    return f"""
+WITH counts AS (SELECT doc_id, CASE WHEN {n} < 8 THEN 'web' WHEN {n} < 14 THEN 'books' WHEN {n} < 18 THEN 'forum' WHEN {n} >= 18 THEN 'code' ELSE 'other' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {mixing.MAX_EPOCHS} AS cap FROM counts GROUP BY ALL),
+top_ AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {weight("domain", mixing.DOMAIN_WEIGHTS)} AS w, 1 AS root, (SELECT CAST(sum(tokens) AS BIGINT) * {mixing.TENTHS} // 10 FROM leaves) AS b FROM leaves GROUP BY domain),
+{_share_sql("a", "top_", "root", "domain")},
+mid AS (SELECT l.*, a.b FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {weight("lang", mixing.LANG_WEIGHTS)} AS w FROM leaves GROUP BY domain, lang) l JOIN a USING (domain)),
+{_share_sql("m", "mid", "domain", "lang")},
+low AS (SELECT l.*, CAST(1 AS BIGINT) AS w, m.b FROM leaves l JOIN m USING (domain, lang)),
+{_share_sql("f", "low", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, b AS budget, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS epochs, b - CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END * tokens AS rest FROM f),
+run AS (SELECT c.*, budget, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mixing.SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))
+    RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM counts c JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies, budget AS leaf_budget
+FROM run WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0"""
+
+
 SQL: dict[str, str] = {
+    "op6_mixing": _mixing_sql(),
     "op7_license_scan": _license_sql(),
     "op4_decontamination": f"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_STRICT} AS w FROM documents),
