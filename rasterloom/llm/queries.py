@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontamination, license_scan, mixing, quality_rules, secret_scan, simhash_near_dups
-from rasterloom.llm.common import table
+from rasterloom.llm import decontamination, license_scan, lm_scoring, mixing, pu_quality, quality_rules, secret_scan, simhash_near_dups, token_counts, toxicity
+from rasterloom.llm.common import remainder, table
+
+
+def _classified(scores: DataFrame, mod: int, held: int) -> DataFrame:
+    return scores.select("doc_id", (remainder(F.col("doc_id"), mod) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pu_quality.learn(docs, table(spark, sf_dir, "labels"), keep=remainder(F.col("doc_id"), 5) != 0)
+    return _classified(pu_quality.score(docs, model), 5, 0)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), keep=remainder(F.col("doc_id"), 4) != 2)
+    return _classified(toxicity.score(docs, model), 4, 2)
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +57,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.masked_digits(text))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -56,10 +81,14 @@ def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": op1_pu_quality,
+    "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_license_scan": op7_license_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
 }
