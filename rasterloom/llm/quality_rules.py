@@ -182,6 +182,14 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(0) if out is not None else F.lit(0)
 
 
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents kept, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text", F.monotonically_increasing_id().alias("_row"))
+    judged = statistics(whole, ("_doc", "_row")).select("_doc", "_row", (~base_failed() & (verdict(rules) == 0)).alias("_kept"))
+    # the row's number keeps the filter where it is: taken below the projections, it would work out the words once for each use
+    return judged.where("_kept and _row >= 0").select("_doc.*")
+
+
 def decide(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, BASE, base_failed, kept and the rule that rejected (0: none)."""
     rule = verdict(rules)

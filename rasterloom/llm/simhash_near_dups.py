@@ -33,7 +33,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (signed 64 bits) of each row. Python over Arrow batches: bits are counted in numpy, a text at a time
+    """doc_id, fingerprint (signed 64 bits) and, to tell texts apart, two more hashes of the text, of each row. Python over Arrow batches: bits are counted in numpy, a text at a time
     and a slice of a long text at a time, so memory does not grow with the text beyond the text itself."""
 
     def run(batches: Iterator) -> Iterator:
@@ -59,10 +59,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             return int(powers[2 * ones > n].sum(dtype=np.uint64).astype(np.int64))
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x.as_py()) for x in b.column(1)], pa.int64()), b.column(2), b.column(3)], ["doc_id", "fp", "k1", "k2"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    return some.mapInArrow(run, "doc_id long, fp long, k1 long, k2 long")
 
 
 def _segment(k: int) -> Column:
@@ -130,15 +131,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable) of each row."""
+    """doc_id, fp, component_id (the least doc_id reachable), root (the component's least fingerprint) and the text's hashes of each row."""
     marked = stored(fingerprints(docs), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     left = stored(pigeonring(fps), "pigeonring")
     tree = components(links(left))
     whole = fps.join(tree.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = whole.select("fp", "root").join(heads, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = whole.select("fp", "root").join(heads, "root").select("fp", "component_id", "root")
+    return marked.join(known, "fp").select("doc_id", "fp", "component_id", "root", "k1", "k2")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: that of the least doc_id (null last), of repeated ids that of the
+    least text hashes, of repeated rows any one."""
+    found = near_dups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    chosen = stored(found.select(F.col("x.doc_id").alias("_d"), F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"), "rows"), "representatives")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_1": F.xxhash64(text), "_2": F.xxhash64(F.lit(1), text)})
+    own = (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    single = keyed.join(chosen.where("rows = 1"), own, "left_semi")
+    several = keyed.join(chosen.where("rows > 1"), own, "left_semi").withColumn("_3", F.col("doc_id")).dropDuplicates(["_1", "_2", "_3"])
+    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def hexadecimal(fp: Column) -> Column:
