@@ -3,10 +3,9 @@
 Fingerprints of all whole texts, grouped to distinct ones first, so exact copies cost one row. Two fingerprints that differ in
 at most 2 of 64 bits have, by the pigeonring principle over 3 segments, a first segment i from which every chain of l
 consecutive segments (around the ring) differs in at most l * 2/3 bits: segment i in none, i and i+1 together in at
-most one, all three in at most two. Two filters apply this in turn, each a count per key and so linear in the rows:
-
-* chains of one: the fingerprint shares segment i, whole, with another one;
-* chains of two: it shares segment i and all but one bit of segment i+1 with another one.
+most one, all three in at most two. The filter asks for a chain of two, which holds that of one: some other fingerprint shares
+segment i, whole, and all but one bit of segment i+1. It is a count per key, linear in the rows; chains of one alone are
+not asked for first, as their 2^21 values per segment are all taken once there are millions of fingerprints.
 
 What is left gets the full Hamming check: two fingerprints are within 2 bits just if they share a key of their own value
 or of it with one bit flipped, and all that share such a key are within 2 bits of each other. So each key's rows are linked
@@ -71,17 +70,8 @@ def _segment(k: int) -> Column:
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _shared(rows: DataFrame, key: Column) -> DataFrame:
-    """Of rows with fp and start, the distinct ones one of whose keys another fingerprint has too.
-
-    A fingerprint gives each of its keys once, so a key met twice belongs to two fingerprints; counts are combined before the shuffle."""
-    keyed = rows.select("fp", "start", F.explode(key).alias("key"))
-    often = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("start", "key")
-    return keyed.join(often, ["start", "key"]).select("fp", "start").distinct()
-
-
 def pigeonring(fps: DataFrame) -> DataFrame:
-    """The distinct fingerprints (column fp) that pass the chains of one and of two segments from some start."""
+    """The distinct fingerprints (column fp) that pass the chain of two segments from some start."""
     rows = fps.select("fp", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("start"))
     by_start = lambda f: F.when(F.col("start") == 0, f(0)).when(F.col("start") == 1, f(1)).otherwise(f(2))
 
@@ -93,8 +83,10 @@ def pigeonring(fps: DataFrame) -> DataFrame:
             lambda b: F.xxhash64(_segment(k), b, _segment(k + 1).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b)))),
         )
 
-    one = stored(_shared(rows, F.array(by_start(_segment))), "chain1")
-    return _shared(one, by_start(second)).select("fp").distinct()
+    # a fingerprint gives each of its keys once, so a key met twice belongs to two fingerprints
+    keyed = rows.select("fp", "start", F.explode(by_start(second)).alias("key"))
+    often = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("start", "key")
+    return keyed.join(often, ["start", "key"]).select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
