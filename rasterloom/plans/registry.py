@@ -508,7 +508,7 @@ _GEO = f"geo AS (SELECT machine, mode, engine, round(exp(avg(ln(ms))), 6) AS gme
 
 @query("""WITH u AS (SELECT 'm' || CAST(l_partkey % 2 AS VARCHAR) AS machine, l_returnflag AS engine, l_linestatus AS mode, CAST(l_suppkey % 23 AS VARCHAR) AS file, CAST(l_linenumber AS BIGINT) AS effort, l_orderkey * 10 + l_linenumber AS seen,
   CASE WHEN l_quantity > 10 THEN CAST(l_quantity * 100 AS BIGINT) END AS bytes, CASE WHEN l_tax > 0.01 THEN l_extendedprice END AS ms, CASE WHEN l_discount > 0.02 THEN l_discount END AS psnr FROM lineitem)
-SELECT machine, engine, mode, file, effort, arg_max(bytes, seen) FILTER (WHERE bytes > 0) AS bytes, arg_max(ms, seen) FILTER (WHERE ms > 0) AS ms, arg_max(psnr, seen) FILTER (WHERE psnr IS NOT NULL) AS psnr FROM u GROUP BY ALL""")
+SELECT machine, engine, mode, file, effort, first(bytes ORDER BY seen DESC, bytes DESC) FILTER (WHERE bytes > 0) AS bytes, first(ms ORDER BY seen DESC, ms DESC) FILTER (WHERE ms > 0) AS ms, first(psnr ORDER BY seen DESC, psnr DESC) FILTER (WHERE psnr IS NOT NULL) AS psnr FROM u GROUP BY ALL""")
 def measurement_merge(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "concat('m', cast(l_partkey % 2 as string)) as machine", "l_returnflag as engine", "l_linestatus as mode", "cast(l_suppkey % 23 as string) as file", "cast(l_linenumber as bigint) as effort", "l_orderkey * 10 + l_linenumber as seen",
