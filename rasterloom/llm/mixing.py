@@ -71,9 +71,10 @@ def budgets(counts: DataFrame, domain_weights=None, lang_weights=None, source_we
     """Stored: per leaf its tokens, documents, budget, whole epochs and what remains for the next one."""
     leaves = stored(counts.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).withColumn("cap", F.col("tokens") * max_epochs), "mixing_leaves")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    whole = leaves.agg((F.expr(f"sum(tokens) * {tenths} div 10") if total is None else F.lit(total).cast("long")).alias("b"), F.lit("all").alias("root"))
-    top = domains.withColumns({"w": _weight("domain", domain_weights or DOMAIN_WEIGHTS), "root": F.lit("all")}).join(whole, "root")
+    # the few domains are the children of one root, whose budget is a sum over them
+    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("root", F.lit("all"))
+    whole = F.lit(total).cast("long") if total is not None else F.expr(f"(sum(tokens) OVER (PARTITION BY root)) * {tenths} div 10")
+    top = domains.withColumns({"w": _weight("domain", domain_weights or DOMAIN_WEIGHTS), "b": whole}).drop("tokens")
     top = _share(top, ["root"], "domain").select("domain", "b")
     middle = langs.withColumn("w", _weight("lang", lang_weights or LANG_WEIGHTS)).join(top, "domain")
     middle = _share(middle, ["domain"], "lang").select("domain", "lang", "b")
