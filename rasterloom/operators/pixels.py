@@ -177,3 +177,13 @@ def upsampled(samples: DataFrame, plane: str) -> DataFrame:
     at = y.select("img", "x", "y", taps.alias("t")).select("img", "x", "y", "t.*").join(c, ["img", "cx", "cy"])
     four = at.groupBy("img", "x", "y").agg(*[F.max(F.when(F.col("role") == r, F.col("s"))).alias(r) for r in "nhvd"])
     return four.select("img", "x", "y", F.expr("((((n + d + 8 + 3 * (h + v)) >> 3) + n) >> 1)").alias("v"))
+
+
+def with_alpha(pixels: DataFrame, plane: DataFrame) -> DataFrame:
+    """Pixels whose alpha is a plane's sample (img, x, y, s)."""
+    return pixels.drop("a").join(plane.select("img", "x", "y", F.col("s").alias("a")), ["img", "x", "y"])
+
+
+def straight(pixels: DataFrame) -> DataFrame:
+    """Premultiplied colours made straight: 255 * c div a, at most 255; transparent pixels are black."""
+    return pixels.select("img", "x", "y", *[F.expr(f"CASE WHEN a = 0 THEN 0L ELSE least(255, (255 * {c}) div a) END").alias(c) for c in "rgb"], "a")

@@ -94,3 +94,43 @@ def activity(luma: DataFrame) -> DataFrame:
     left = F.when(F.col("x") % 16 > 0, F.abs(F.col("s") - F.lag("s").over(across))).otherwise(0)
     up = F.when(F.col("y") % 16 > 0, F.abs(F.col("s") - F.lag("s").over(down))).otherwise(0)
     return rows.withColumn("d", left + up).groupBy("img", "mx", "my").agg(F.sum("d").alias("activity"))
+
+
+def intra_costs(samples: DataFrame, size: int = 4) -> DataFrame:
+    """(img, bi, bj, mode, sad) of DC, vertical, horizontal and true-motion prediction of each block from the row above and the column to
+    its left; above the image stands 127, left of it 129, and DC counts only the sides that are there, 128 without any.
+
+    The sides are two narrow tables of a quarter of the samples each, joined by coordinates."""
+    half = size.bit_length() - 1
+    rows = samples.select("img", "x", "y", "s", F.shiftright("x", half).alias("bi"), F.shiftright("y", half).alias("bj"))
+    above = rows.where(F.col("y") % size == size - 1).select("img", F.col("x").alias("x"), (F.col("bj") + 1).alias("bj"), F.col("s").alias("t"))
+    left = rows.where(F.col("x") % size == size - 1).select("img", F.col("y").alias("y"), (F.col("bi") + 1).alias("bi"), F.col("s").alias("l"))
+    corner = rows.where((F.col("x") % size == size - 1) & (F.col("y") % size == size - 1)).select("img", (F.col("bi") + 1).alias("bi"), (F.col("bj") + 1).alias("bj"), F.col("s").alias("c"))
+    tops = above.groupBy("img", F.shiftright("x", half).alias("bi"), "bj").agg(F.sum("t").alias("st"))
+    lefts = left.groupBy("img", "bi", F.shiftright("y", half).alias("bj")).agg(F.sum("l").alias("sl"))
+    all_ = rows.join(above, ["img", "x", "bj"], "left").join(left, ["img", "y", "bi"], "left").join(corner, ["img", "bi", "bj"], "left").join(tops, ["img", "bi", "bj"], "left").join(lefts, ["img", "bi", "bj"], "left")
+    dc = f"CASE WHEN st IS NOT NULL AND sl IS NOT NULL THEN (st + sl + {size}) >> {half + 1} WHEN st IS NOT NULL THEN (st + {size // 2}) >> {half} WHEN sl IS NOT NULL THEN (sl + {size // 2}) >> {half} ELSE 128 END"
+    edge = "CASE WHEN c IS NOT NULL THEN c WHEN bj = 0 THEN 127 ELSE 129 END"
+    guess = [dc, "coalesce(t, 127)", "coalesce(l, 129)", f.clip(f"coalesce(t, 127) + coalesce(l, 129) - {edge}")]
+    sums = all_.groupBy("img", "bi", "bj").agg(*[F.expr(f"sum(abs(s - ({g})))").alias(f"m{k}") for k, g in enumerate(guess)])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("mode"), F.col(f"m{k}").alias("sad")) for k in range(4)]))
+    return sums.select("img", "bi", "bj", cells.alias("c")).select("img", "bi", "bj", "c.*")
+
+
+def smoothed_edges(samples: DataFrame, limit: int, size: int = 4) -> DataFrame:
+    """The simple loop filter over the inner vertical edges of a plane: the two samples at an edge move towards each other where the step
+    across it is within the limit. Edges lie apart, so each is one row of four samples."""
+    w = Window.partitionBy("img", "y").orderBy("x")
+    rows = samples.select("img", "x", "y", "s", F.lag("s", 2).over(w).alias("b2"), F.lag("s", 1).over(w).alias("b1"), F.lead("s", 1).over(w).alias("a1"), F.lead("s", 2).over(w).alias("a2"))
+    names = {"q": ("b2", "b1", "s", "a1"), "p": ("b1", "s", "a1", "a2")}
+    wide = lambda v: f.clip(v, -128, 127)
+
+    def moved(side: str) -> str:
+        p1, p0, q0, q1 = names[side]
+        step = wide(f"({wide(f'({p1} - {q1})')} + 3 * ({q0} - {p0}))")
+        near = f"abs({p0} - {q0}) * 2 + (abs({p1} - {q1}) >> 1) <= {limit}"
+        change = f"- ({wide(f'({step} + 4)')} >> 3)" if side == "q" else f"+ ({wide(f'({step} + 3)')} >> 3)"
+        return f"CASE WHEN {near} THEN {f.clip(f'(s {change})')} ELSE s END"
+
+    at = f"CASE WHEN x > 0 AND x % {size} = 0 THEN {moved('q')} WHEN x % {size} = {size - 1} AND a1 IS NOT NULL THEN {moved('p')} ELSE s END"
+    return rows.select("img", "x", "y", F.expr(at).alias("s"))
