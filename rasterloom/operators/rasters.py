@@ -30,9 +30,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_image(rows: DataFrame) -> DataFrame:
+    """Rows of images dealt out by image before their pixels are made: pixels then lie by image, and no window or aggregate over images
+    shuffles them again. A number is given, as one left open would be cut to the size of these few rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "img")
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 16 x 16 RGB image, one macroblock, for each part."""
-    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("img"), F.col("p_size").cast("long").alias("sz"))
+    part = by_image(_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("img"), F.col("p_size").cast("long").alias("sz")))
     at = part.select("img", "sz", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("pos"))
     at = at.select("img", "sz", F.expr("pos & 15").alias("x"), F.expr("shiftright(pos, 4)").alias("y"))
     at = at.select("img", "x", "y", F.expr("(x * x * (1 + img % 3) + y * y * sz + x * y) & 255").alias("l"))
@@ -47,14 +54,16 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8 x 8 plane of samples for each embedding."""
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("img"), F.posexplode("embedding").alias("pos", "v"))
+    rows = by_image(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("img"), "embedding"))
+    rows = rows.select("img", F.posexplode("embedding").alias("pos", "v"))
     s = F.expr("cast(floor((greatest(-1, least(1, cast(v as double))) + 1) * 127.5) as bigint)")
     return rows.select("img", F.expr("cast(pos % 8 as bigint)").alias("x"), F.expr("cast(pos div 8 as bigint)").alias("y"), s.alias("s"))
 
 
 def rgba4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 4 x 4 RGBA image for each embedding, built within its row."""
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("img"), F.col("embedding").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
+    rows = by_image(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("img"), F.col("embedding").alias("e")))
+    rows = rows.select("img", "e", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
     at = lambda c: F.expr(f"cast(floor((greatest(-1, least(1, cast(get(e, p * 4 + {c}) as double))) + 1) * 127.5) as bigint)")
     return rows.select("img", F.expr("cast(p % 4 as bigint)").alias("x"), F.expr("cast(p div 4 as bigint)").alias("y"), *[at(c).alias(n) for c, n in enumerate("rgba")])
 
