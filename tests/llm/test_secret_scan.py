@@ -3,7 +3,8 @@ import re
 from collections import Counter
 
 from rasterloom.llm import secret_scan as s
-from rasterloom.llm.queries import op9_secret_scan
+from rasterloom.llm.queries import SQL, op9_secret_scan
+from tests.oracle import compare
 
 
 def brute(text, reach=s.REACH):
@@ -55,6 +56,11 @@ def test_against_brute_force(spark, sf_dir):
     assert Counter(tuple(r) for r in op9_secret_scan(spark, sf).collect()) == expected(rows)
 
 
+def test_against_sql(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.01")
+    assert compare(op9_secret_scan(spark, sf), SQL["op9_secret_scan"], sf) == 1000
+
+
 def test_odd_rows_edges_and_empty_tables(spark, odd):
     more = spark.createDataFrame([(100 + i, t, "en", "z", 1) for i, t in enumerate(TEXTS)], odd.schema)
     docs = odd.union(more)
