@@ -137,14 +137,17 @@ def near_dups(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: that of the least doc_id (null last), of repeated ids that of the
     least text hashes, of repeated rows any one."""
-    found = near_dups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("x"), F.count(F.lit(1)).alias("rows"))
-    chosen = stored(found.select(F.col("x.doc_id").alias("_d"), F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"), "rows"), "representatives")
+    rows = near_dups(docs).groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    found = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2", "copies")).alias("x"))
+    chosen = stored(found.select(F.col("x.doc_id").alias("_d"), F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"), "x.copies"), "representatives")
     text = F.col("text").cast("string")
     keyed = docs.withColumns({"_1": F.xxhash64(text), "_2": F.xxhash64(F.lit(1), text)})
     own = (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-    single = keyed.join(chosen.where("rows = 1"), own, "left_semi")
-    several = keyed.join(chosen.where("rows > 1"), own, "left_semi").withColumn("_3", F.col("doc_id")).dropDuplicates(["_1", "_2", "_3"])
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    single = keyed.join(chosen.where("copies = 1"), own, "left_semi").select(*docs.columns)
+    if chosen.where("copies > 1").isEmpty():  # no row is repeated: the texts are gone through once
+        return single
+    several = keyed.join(chosen.where("copies > 1"), own, "left_semi").withColumn("_3", F.col("doc_id")).dropDuplicates(["_1", "_2", "_3"])
+    return single.unionByName(several.select(*docs.columns))
 
 
 def hexadecimal(fp: Column) -> Column:
