@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import labelled_sample
 
-MAX_POSITIVE, MAX_UNLABELLED, SEED = 4000, 8000, 11
+MAX_POSITIVE, MAX_UNLABELLED, SEED = 6000, 16000, 11
 BINS = 16
+#: Unlabelled rows of a step; of the epochs' weights those of the second half are averaged.
+BATCH = 512
 NAMES = (
     "log_chars", "log_words", "upper", "lower", "digit", "blank", "newline", "bang", "symbol", "stop", "other_punctuation", "beyond_ascii",
     "word_length", "distinct", "top_word", "shouted", "short_words", "distinct_triples", "dup_lines", "line_words", "entropy", "long_words",
@@ -111,7 +113,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(p: np.ndarray, u: np.ndarray, epochs: int = 120, rate: float = 0.05, decay: float = 1e-5, seed: int = SEED) -> Model:
+def fit(p: np.ndarray, u: np.ndarray, epochs: int = 120, rate: float = 0.1, decay: float = 1e-5, seed: int = SEED) -> Model:
     """The model from the statistics of positives and of unlabelled rows."""
     if not len(p) or not len(u):
         return Model(np.zeros((len(NAMES), BINS - 1)), np.zeros((len(NAMES), BINS)), 0.0, 0.5)
@@ -122,9 +124,10 @@ def fit(p: np.ndarray, u: np.ndarray, epochs: int = 120, rate: float = 0.05, dec
 
     def run(cp: np.ndarray, cu: np.ndarray, prior: float | None) -> np.ndarray:
         """prior None: plain classification of p against u."""
-        w, step = np.zeros(columns + 1), _adam(columns)
-        for _ in range(epochs):
-            parts = max(1, len(cu) // 512)
+        w, step, mean = np.zeros(columns + 1), _adam(columns), np.zeros(columns + 1)
+        parts = max(1, len(cu) // BATCH)
+        for epoch in range(epochs):
+            slower = rate * min(1.0, 2 * (1 - epoch / epochs))  # the second half slows down to a stop
             for a, b in zip(np.array_split(order.permutation(len(cp)), parts), np.array_split(order.permutation(len(cu)), parts), strict=True):
                 if not len(a) or not len(b):
                     continue
@@ -137,8 +140,10 @@ def fit(p: np.ndarray, u: np.ndarray, epochs: int = 120, rate: float = 0.05, dec
                     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
                     g = prior * up + un - prior * pn if negative >= 0 else -(un - prior * pn)
                 g[:-1] += decay * w[:-1]
-                w = step(w, g, rate)
-        return w
+                w = step(w, g, slower)
+            if 2 * epoch >= epochs:
+                mean += w / (epochs - (epochs + 1) // 2)
+        return mean
 
     half_p, half_u = order.permutation(len(cp)), order.permutation(len(cu))
     fit_p, see_p = half_p[: max(1, len(cp) // 2)], half_p[len(cp) // 2 :]
