@@ -31,19 +31,29 @@ def error(mode: int, d: f.Dialect = f.SPARK) -> str:
     return " + ".join(f.wrapped_error(c, guess(mode, c, d)) for c in f.CHANNELS)
 
 
+def _inner(c: str = "") -> list[str]:
+    """The fourteen predictions of a pixel with all its neighbours, over columns l, t, tl, tr, the means lt, ltl, ttr, and nearer."""
+    l, t, tl, tr, lt, ltl, ttr = (f"{p}{c}" for p in ("l", "t", "tl", "tr", "lt", "ltl", "ttr"))
+    mean = f.average
+    return [
+        f"black{c}", l, t, tr, tl, mean(mean(l, tr), t), ltl, lt, mean(tl, t), ttr, mean(ltl, ttr),
+        f"CASE WHEN nearer THEN {t} ELSE {l} END", f.clip(f"({l} + {t} - {tl})"), f.clip(f"({lt} + (({lt} - {tl}) div 2))"),
+    ]
+
+
+_NEARER = "({}) - ({}) <= 0".format(*(" + ".join(f"abs({p}_{c} - tl_{c})" for c in f.CHANNELS) for p in ("l", "t")))
+
+
 def costs(pixels: DataFrame, width: int, bits: int = 3) -> DataFrame:
     """(img, tx, ty, mode, cost) of each predictor mode on each tile of 2^bits pixels a side.
 
     Channels are taken apart into rows first: fourteen errors of one channel make a method that the JIT compiles, all four don't. What
     needs all channels at once, which neighbour is nearer, is worked out before."""
-    apart = lambda p: " + ".join(f"abs({p}_{c} - tl_{c})" for c in f.CHANNELS)
-    near = with_neighbours(pixels, width).withColumns({"nearer": F.expr(f"({apart('l')}) - ({apart('t')}) <= 0"), "edge": F.expr("CASE WHEN y = 0 AND x = 0 THEN 1 WHEN y = 0 THEN 2 WHEN x = 0 THEN 3 ELSE 0 END")})
+    near = with_neighbours(pixels, width).withColumns({"nearer": F.expr(_NEARER), "edge": F.expr("CASE WHEN y = 0 AND x = 0 THEN 1 WHEN y = 0 THEN 2 WHEN x = 0 THEN 3 ELSE 0 END")})
     parts = F.explode(F.array(*[F.struct(F.col(c).alias("v"), *[F.col(f"{p}_{c}").alias(p) for p in ("l", "t", "tl", "tr")], F.lit(255 if c == "a" else 0).alias("black")) for c in f.CHANNELS]))
     rows = near.select("img", F.shiftright("x", bits).alias("tx"), F.shiftright("y", bits).alias("ty"), "nearer", "edge", parts.alias("c")).select("img", "tx", "ty", "nearer", "edge", "c.*")
-    mean = f.average
-    rows = rows.withColumns({"lt": F.expr(mean("l", "t")), "ltl": F.expr(mean("l", "tl")), "ttr": F.expr(mean("t", "tr"))})
-    inner = ["black", "l", "t", "tr", "tl", mean(mean("l", "tr"), "t"), "ltl", "lt", mean("tl", "t"), "ttr", mean("ltl", "ttr"), "CASE WHEN nearer THEN t ELSE l END", f.clip("(l + t - tl)"), f.clip("(lt + ((lt - tl) div 2))")]
-    rows = rows.select("img", "tx", "ty", "v", F.expr("CASE edge WHEN 1 THEN black WHEN 2 THEN l WHEN 3 THEN t END").alias("fixed"), *[F.expr(e).alias(f"g{m}") for m, e in enumerate(inner)])
+    rows = rows.withColumns({"lt": F.expr(f.average("l", "t")), "ltl": F.expr(f.average("l", "tl")), "ttr": F.expr(f.average("t", "tr"))})
+    rows = rows.select("img", "tx", "ty", "v", F.expr("CASE edge WHEN 1 THEN black WHEN 2 THEN l WHEN 3 THEN t END").alias("fixed"), *[F.expr(e).alias(f"g{m}") for m, e in enumerate(_inner())])
     sums = rows.groupBy("img", "tx", "ty").agg(*[F.expr(f"sum(128 - abs(128 - abs(v - coalesce(fixed, g{m}))))").alias(f"e{m}") for m in range(MODES)])
     cells = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mode"), F.col(f"e{m}").alias("cost")) for m in range(MODES)]))
     return sums.select("img", "tx", "ty", cells.alias("c")).select("img", "tx", "ty", "c.*")
@@ -55,9 +65,15 @@ def best_modes(pixels: DataFrame, width: int, bits: int = 3) -> DataFrame:
 
 
 def residuals(pixels: DataFrame, modes: DataFrame, width: int, bits: int = 3) -> DataFrame:
-    """Pixels less their prediction under their tile's mode, channel by channel modulo 256."""
+    """Pixels less their prediction under their tile's mode, channel by channel modulo 256.
+
+    The borders' rules are modes 0, 1 and 2 themselves, so a pixel's own mode settles its prediction."""
     rows = with_neighbours(pixels, width).withColumns({"tx": F.shiftright("x", bits), "ty": F.shiftright("y", bits)}).join(modes.select("img", "tx", "ty", "mode"), ["img", "tx", "ty"])
-    pick = lambda c: "CASE " + " ".join(f"WHEN mode = {m} THEN {guess(m, c)}" for m in range(MODES)) + " END"
+    cols = {"nearer": F.expr(_NEARER), "mode": F.expr("CASE WHEN y = 0 AND x = 0 THEN 0 WHEN y = 0 THEN 1 WHEN x = 0 THEN 2 ELSE mode END")}
+    for c in f.CHANNELS:
+        cols |= {f"lt_{c}": F.expr(f.average(f"l_{c}", f"t_{c}")), f"ltl_{c}": F.expr(f.average(f"l_{c}", f"tl_{c}")), f"ttr_{c}": F.expr(f.average(f"t_{c}", f"tr_{c}")), f"black_{c}": F.lit(255 if c == "a" else 0)}
+    rows = rows.withColumns(cols)
+    pick = lambda c: "CASE mode " + " ".join(f"WHEN {m} THEN {e}" for m, e in enumerate(_inner(f"_{c}"))) + " END"
     return rows.select("img", "x", "y", *[F.expr(f"({c} - ({pick(c)})) & 255").alias(c) for c in "rgba"])
 
 

@@ -163,3 +163,13 @@ def test_sql_functions(spark):
     spark.sql("SELECT d.width AS w, d.height AS h, d.rgba AS v FROM (SELECT webp_decode_rgba(content) AS d FROM files) WHERE d.width IS NOT NULL").createOrReplaceTempView("px")
     r = spark.sql("SELECT webp_encode_lossless(w, h, v, 3) AS c, psnr_rgb(w, h, v, v) AS p FROM px").first()
     assert r.p == float("inf") and np.array_equal(k.decode(bytes(r.c)), px)
+
+
+def test_command_line(tmp_path, capsys):
+    from rasterloom.__main__ import main
+
+    px = gradient(9, 8)
+    (tmp_path / "a.png").write_bytes(bitmaps.write_png(px))
+    main(["encode", "-in", str(tmp_path / "a.png"), "-out", str(tmp_path / "a.webp")])
+    main(["decode", "-in", str(tmp_path / "a.webp"), "-out", str(tmp_path / "a.bmp")])
+    assert np.array_equal(bitmaps.read_bmp((tmp_path / "a.bmp").read_bytes()), px) and "9x8" in capsys.readouterr().out
