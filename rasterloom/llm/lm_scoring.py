@@ -44,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def ngrams(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
     """For each n from 1 to order, the hash of the n-gram that ends at each word; n-grams that would begin before their document are 0."""
-    h = _mixed(vocabulary.view(np.uint64) + _A)[tokens]
+    h = _mixed(vocabulary + _A)[tokens]
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = [h]
     for n in range(2, order + 1):
@@ -55,6 +55,15 @@ def ngrams(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, orde
     return out
 
 
+def planed(x: np.ndarray) -> bytes:
+    """An array's bytes, all lowest ones first, then the next: high bytes of small or sorted numbers repeat, and compress to little."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Stored blocks; once written their rows stay as they are whatever is lost."""
 
@@ -64,11 +73,11 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("vocabulary", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
+        schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
 
         def row(ids: list, lengths: list, number: dict, tokens: list) -> pa.RecordBatch:
-            v = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number)).view(np.int64)
-            cells = (uuid.uuid4().hex, ids, lengths, v, np.concatenate(tokens) if tokens else [])
+            v = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+            cells = (uuid.uuid4().hex, ids, lengths, v.tobytes(), planed(np.concatenate(tokens)))
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
         ids, lengths, number, tokens, total = [], [], {}, [], 0
@@ -86,11 +95,14 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             yield row(ids, lengths, number, tokens)
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(some.mapInArrow(run, "block string, ids array<long>, n_words array<int>, vocabulary array<long>, tokens array<int>"), "lm_blocks")
+    return stored(some.mapInArrow(run, "block string, ids array<long>, n_words array<int>, vocabulary binary, tokens binary"), "lm_blocks")
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(row["vocabulary"], np.int64), np.array(row["tokens"], np.int64), np.array(row["n_words"], np.int64)
+def _arrays(batch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vocabulary, tokens and document lengths of a block."""
+    cell = lambda n: batch.column(batch.schema.get_field_index(n))[r]
+    lengths = cell("n_words").values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(cell("vocabulary").as_py(), np.uint64), unplaned(cell("tokens").as_py(), np.int32).astype(np.int64), lengths
 
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,17 +111,12 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(all_[all_ != 0], return_counts=True)
 
 
-def _lists(batch, names: tuple[str, ...], r: int) -> dict:
-    return {n: batch.column(batch.schema.get_field_index(n))[r].values.to_numpy(zero_copy_only=False) for n in names}
-
-
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, part_ngrams: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_backoff (words whose longest n-gram was too rare), log_score (natural, the sum) and mean_log_score."""
     part_ngrams = part_ngrams or PART_NGRAMS
     blocks = blocks_of(docs)
     total = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     bits = max(1, int(np.ceil(np.log2(max(2, total * order / part_ngrams)))))
-    names = ("n_words", "vocabulary", "tokens")
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -117,7 +124,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
         for b in batches:
             for r in range(b.num_rows):
                 block = b.column(b.schema.get_field_index("block"))[r].as_py()
-                keys, counts = _distinct(ngrams(*_arrays(_lists(b, names, r)), order))
+                keys, counts = _distinct(ngrams(*_arrays(b, r), order))
                 if not len(keys):
                     continue
                 part = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -125,20 +132,20 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
                 ends = np.append(first[1:], len(keys))
                 spans = list(zip(first.tolist(), ends.tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(which, pa.int64()), pa.array([block] * len(which)), pa.array([keys[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([counts[a:e].astype(np.uint32).tobytes() for a, e in spans], pa.binary())],
+                    [pa.array(which, pa.int64()), pa.array([block] * len(which)), pa.array([planed(keys[a:e]) for a, e in spans], pa.binary()), pa.array([planed(counts[a:e].astype(np.uint32)) for a, e in spans], pa.binary())],
                     ["part", "block", "hashes", "counts"],
                 )
 
     def add(table):
         import pyarrow as pa
 
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        hashes = [unplaned(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([unplaned(x, np.uint32) for x in table.column("counts").to_pylist()])
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(at, weights=counts).astype(np.uint64)[at]
         ends = np.cumsum([len(x) for x in hashes])
         kind = np.uint32 if sums.max(initial=0) < 1 << 32 else np.uint64
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "wide": pa.array([kind is np.uint64] * len(hashes)), "totals": pa.array([s.astype(kind).tobytes() for s in np.split(sums, ends[:-1])], pa.binary())})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "wide": pa.array([kind is np.uint64] * len(hashes)), "totals": pa.array([planed(s.astype(kind)) for s in np.split(sums, ends[:-1])], pa.binary())})
 
     def summed(own, given):
         import pyarrow as pa
@@ -146,11 +153,11 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
         out = {"doc_id": [], "n_words": [], "n_backoff": [], "log_score": []}
         for b in own.to_batches():
             for r in range(b.num_rows):
-                v, tokens, lengths = _arrays(_lists(b, names, r))
+                v, tokens, lengths = _arrays(b, r)
                 grams = ngrams(v, tokens, lengths, order)
                 keys, _ = _distinct(grams)
                 parts = sorted(zip(given.column("part").to_pylist(), given.column("wide").to_pylist(), given.column("totals").to_pylist(), strict=True))
-                totals = np.concatenate([np.frombuffer(t, np.uint64 if w else np.uint32).astype(np.float64) for _, w, t in parts]) if parts else np.zeros(0)
+                totals = np.concatenate([unplaned(t, np.uint64 if w else np.uint32).astype(np.float64) for _, w, t in parts]) if parts else np.zeros(0)
                 count = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))], 0) if len(keys) else np.zeros(0) for g in grams]
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 best = np.log(count[0]) - np.log(total) if len(tokens) else np.zeros(0)
@@ -169,7 +176,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
                 out["log_score"] += [float(best[a:e].sum()) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_backoff": pa.array(out["n_backoff"], pa.int64()), "log_score": pa.array(out["log_score"], pa.float64())})
 
-    sent = blocks.select("block", *names).mapInArrow(send, "part long, block string, hashes binary, counts binary")
+    sent = blocks.drop("ids").mapInArrow(send, "part long, block string, hashes binary, counts binary")
     totals = sent.groupBy("part").applyInArrow(add, "block string, part long, wide boolean, totals binary")
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(summed, "doc_id long, n_words long, n_backoff long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
