@@ -169,9 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     The bound holds at every input size, so the broadcast ids and the collected statistics are a few hundred kB."""
     ids = labelled_sample(labels, label, max_rows, seed)
     known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    got = statistics(known.select("doc_id", "text", "label"), ("doc_id", "label")).where(~base_failed())
-    rows = got.select("doc_id", (F.col("label") == 0).alias("bad"), *[F.col(f).cast("double").alias(f"_{f}") for f in FEATURES]).collect()
-    return grow_list([tuple(r)[1:] for r in sorted(rows, key=tuple)], **grow)
+    # what fails the base rule is left out here, not by a filter: Catalyst would take that below the join, and work out every text's statistics
+    got = statistics(known.select("doc_id", "text", "label"), ("doc_id", "label"))
+    rows = got.select("doc_id", (F.col("label") == 0).alias("bad"), *[F.col(f).cast("double").alias(f"_{f}") for f in FEATURES], base_failed().alias("failed")).collect()
+    return grow_list([tuple(r)[1:-1] for r in sorted(rows, key=tuple) if not r.failed], **grow)
 
 
 def verdict(rules: list[Rule]) -> Column:
