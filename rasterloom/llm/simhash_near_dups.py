@@ -86,7 +86,7 @@ def pigeonring(fps: DataFrame) -> DataFrame:
     # a fingerprint gives each of its keys once, so a key met twice belongs to two fingerprints
     keyed = rows.select("fp", "start", F.explode(by_start(second)).alias("key"))
     often = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("start", "key")
-    return keyed.join(often, ["start", "key"]).select("fp").distinct()
+    return keyed.join(often.hint("merge"), ["start", "key"]).select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -94,7 +94,8 @@ def links(fps: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(64)])
     keyed = fps.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    return keyed.join(least, "key").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
+    # Spark takes exploded rows to be as few as they were before, and so would broadcast far more than its limit without the hint
+    return keyed.join(least.hint("merge"), "key").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
