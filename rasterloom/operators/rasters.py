@@ -23,7 +23,7 @@ MEAS_SQL = """SELECT 'm' || CAST(l_partkey % 2 AS VARCHAR) AS machine, l_returnf
     CAST(max(CASE WHEN l_quantity > 10 THEN l_quantity * 100 END) AS BIGINT) AS bytes, max(l_extendedprice) AS ms, max(CASE WHEN l_discount > 0.02 THEN l_discount * 100 END) AS psnr
   FROM lineitem GROUP BY ALL"""
 FRAMES_SQL = """SELECT anim, k, event_id % 8 AS x0, event_id % 5 AS y0, 2 + event_id % 7 AS w, 2 + event_id % 6 AS h, (event_id * 7919) % 256 AS v, event_id % 3 = 0 AS dispose
-  FROM (SELECT CAST(user_id AS BIGINT) AS anim, CAST(event_id AS BIGINT) AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k < 8"""
+  FROM (SELECT CAST(user_id AS BIGINT) AS anim, CAST(event_id AS BIGINT) AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +86,10 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 8 opaque frames for each user: a rectangle in one value on a 16 x 12 canvas, and whether it is disposed of."""
+    """An opaque frame for each event of a user: a rectangle in one value on a 16 x 12 canvas, and whether it is disposed of."""
     from pyspark.sql import Window
 
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("anim"), F.col("event_id").cast("long").alias("event_id"), "ts")
     k = F.row_number().over(Window.partitionBy("anim").orderBy("ts", "event_id")).cast("long") - 1
-    rows = rows.withColumn("k", k).where("k < 8")
+    rows = rows.withColumn("k", k)
     return rows.selectExpr("anim", "k", "event_id % 8 as x0", "event_id % 5 as y0", "2 + event_id % 7 as w", "2 + event_id % 6 as h", "(event_id * 7919) % 256 as v", "event_id % 3 = 0 as dispose")

@@ -116,13 +116,12 @@ def yuv_to_rgb(spark, sf_dir):
     return pixels.rgb_of(pixels.yuv420(rasters.tiles(spark, sf_dir))).groupBy("img").agg(*[F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in "rgb"])
 
 
-@query(f"""WITH s AS (SELECT * FROM {_YUV} WHERE img % 10 = 0), c AS (SELECT img, x, y, v FROM s WHERE plane = 'u'),
+@query(f"""WITH s AS (SELECT * FROM {_YUV}), c AS (SELECT img, x, y, v FROM s WHERE plane = 'u'),
 p AS (SELECT img, x, y, x >> 1 AS ox, y >> 1 AS oy, greatest(0, least(7, (x >> 1) + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS sx, greatest(0, least(7, (y >> 1) + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)) AS sy FROM s WHERE plane = 'y')
 SELECT p.img, p.x, p.y, ((((n.v + d.v + 8 + 3 * (h.v + w.v)) >> 3) + n.v) >> 1) AS v FROM p JOIN c n ON n.img = p.img AND n.x = ox AND n.y = oy JOIN c h ON h.img = p.img AND h.x = sx AND h.y = oy
 JOIN c w ON w.img = p.img AND w.x = ox AND w.y = sy JOIN c d ON d.img = p.img AND d.x = sx AND d.y = sy""")
 def chroma_upsampling(spark, sf_dir):
-    """Of every tenth image, so that the SQL beside it stays readable as plain rows; the operator itself takes any."""
-    return pixels.upsampled(pixels.yuv420(rasters.tiles(spark, sf_dir).where("img % 10 = 0")), "u")
+    return pixels.upsampled(pixels.yuv420(rasters.tiles(spark, sf_dir)), "u")
 
 
 def _ranges(d):
