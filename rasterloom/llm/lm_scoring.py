@@ -7,8 +7,10 @@ Three relations, each row of which carries packed arrays instead of single n-gra
   into parts, so that a frequent n-gram is one entry a block and no part grows with it;
 * counts (block, part, totals): one group a part adds up its blocks' counts and gives each block its totals back.
 
-The totals are joined to their block, where n-grams are exploded again, scored and summed per document. The number of parts follows the
-corpus, so that a part holds about PART_NGRAMS entries at every size; empty cuts aren't sent. All counts cover all documents.
+The parts are sent and added up in PASSES passes, each of which ends in a table of totals in the shared folder, so that the n-grams of
+one pass only are on disk at a time. The totals are joined to their block, where n-grams are exploded again, scored and summed per
+document. The number of parts follows the corpus, so that a part holds about PART_NGRAMS entries at every size; empty cuts aren't sent.
+All counts cover all documents.
 
 S(w | context) is c(context w) / c(context) if the n-gram's count is at least MIN_COUNT, else BACKOFF times S with the first word of the
 context left out; the last resort is c(w) / words of the corpus. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are
@@ -20,18 +22,22 @@ an empty table gives an empty result; further columns are left out.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import stored
 from rasterloom.llm.decontamination import words_of
 
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Words of a block, a longer text being a block of its own; entries of a part, aimed at.
 BLOCK_WORDS, PART_NGRAMS = 1_000_000, 2_000_000
+#: Passes over the blocks, each sending its share of the parts.
+PASSES = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -111,6 +117,12 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(all_[all_ != 0], return_counts=True)
 
 
+def _freed(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver collects what refers to them; without this a pass's files may outlast the next pass."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, part_ngrams: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_backoff (words whose longest n-gram was too rare), log_score (natural, the sum) and mean_log_score."""
     part_ngrams = part_ngrams or PART_NGRAMS
@@ -118,23 +130,26 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
     total = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     bits = max(1, int(np.ceil(np.log2(max(2, total * order / part_ngrams)))))
 
-    def send(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            for r in range(b.num_rows):
-                block = b.column(b.schema.get_field_index("block"))[r].as_py()
-                keys, counts = _distinct(ngrams(*_arrays(b, r), order))
-                if not len(keys):
-                    continue
-                part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                which, first = np.unique(part, return_index=True)
-                ends = np.append(first[1:], len(keys))
-                spans = list(zip(first.tolist(), ends.tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(which, pa.int64()), pa.array([block] * len(which)), pa.array([planed(keys[a:e]) for a, e in spans], pa.binary()), pa.array([planed(counts[a:e].astype(np.uint32)) for a, e in spans], pa.binary())],
-                    ["part", "block", "hashes", "counts"],
-                )
+    def send(turn: int):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for r in range(b.num_rows):
+                    block = b.column(b.schema.get_field_index("block"))[r].as_py()
+                    keys, counts = _distinct([g[(g >> np.uint64(64 - bits)) % np.uint64(PASSES) == turn] for g in ngrams(*_arrays(b, r), order)])
+                    if not len(keys):
+                        continue
+                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                    which, first = np.unique(part, return_index=True)
+                    ends = np.append(first[1:], len(keys))
+                    spans = list(zip(first.tolist(), ends.tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(which, pa.int64()), pa.array([block] * len(which)), pa.array([planed(keys[a:e]) for a, e in spans], pa.binary()), pa.array([planed(counts[a:e].astype(np.uint32)) for a, e in spans], pa.binary())],
+                        ["part", "block", "hashes", "counts"],
+                    )
+
+        return run
 
     def add(table):
         import pyarrow as pa
@@ -176,7 +191,13 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
                 out["log_score"] += [float(best[a:e].sum()) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_backoff": pa.array(out["n_backoff"], pa.int64()), "log_score": pa.array(out["log_score"], pa.float64())})
 
-    sent = blocks.drop("ids").mapInArrow(send, "part long, block string, hashes binary, counts binary")
-    totals = sent.groupBy("part").applyInArrow(add, "block string, part long, wide boolean, totals binary")
+    def added(turn: int) -> DataFrame:
+        sent = blocks.drop("ids").mapInArrow(send(turn), "part long, block string, hashes binary, counts binary")
+        out = stored(sent.groupBy("part").applyInArrow(add, "block string, part long, wide boolean, totals binary"), "lm_totals")
+        del sent
+        _freed(docs.sparkSession)
+        return out
+
+    totals = reduce(DataFrame.unionByName, [added(turn) for turn in range(PASSES)])
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(summed, "doc_id long, n_words long, n_backoff long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -46,3 +46,13 @@ def test_empty_tables_and_texts(spark, odd):
     assert m.score(odd.limit(0)).count() == 0
     got = m.score(odd.where("doc_id <= 3")).collect()
     assert {(r.n_words, r.log_score, r.mean_log_score) for r in got} == {(0, 0.0, None)}
+
+
+def test_query_tells_common_pairs_in_rare_sequences(spark, odd, tmp_path):
+    # every word pair of the last text is common, its three-word sequences are not
+    texts = ["a b c a b c a b c"] * 3 + ["b a c b a c b a c"] * 3 + ["a b a c a b a c"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], odd.schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_lm_scoring(spark, str(tmp_path)).collect()
+    check(got, range(len(texts)), brute(texts, 3))
+    assert {r.doc_id: r.n_backoff > 0 for r in got} == {i: i == len(texts) - 1 for i in range(len(texts))}
