@@ -1,6 +1,7 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as a set of words. It holds a template if at least CONTAINMENT of the template's words are
+A block is a line of a text or, with paragraphs, all lines up to the next blank one, so that a notice wrapped over lines is one block; it
+is taken as a set of words. It holds a template if at least CONTAINMENT of the template's words are
 among its own. The join is a prefix join: tokens are put in one global order, rarest in the corpus first; a block that shares
 o of a template's n tokens shares one of its first n - o + 1 in that order, o being the overlap needed. Blocks
 shorter than o (length filter) and pairs whose first shared token leaves too few behind it on either side (positional
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import BREAKS, LOWER, UPPER, stored
 
 CONTAINMENT = 0.8
+#: What parts paragraphs.
+BLANK_LINES = r"\n[ \t\x0B\x0C\r]*\n"
 MAX_TEMPLATES = 1000
 #: Base phrases and their labels: fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -60,7 +63,7 @@ def _spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.array_remove(F.split(flat, " "), ""), "  "), F.lit(" "))
 
 
-def prepared(docs: DataFrame, vocabulary: list[str], least: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def prepared(docs: DataFrame, vocabulary: list[str], least: int, keep: tuple[str, ...] = ("doc_id",), paragraphs: bool = False) -> DataFrame:
     """Stored: keep, a row number, the base counts, and blocks of (distinct words, numbers of template tokens in them)."""
     ins = [f"_in_{c}" for c in keep]
     some = docs.select(*[F.col(c).alias(f"_in_{c}") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -88,7 +91,7 @@ def prepared(docs: DataFrame, vocabulary: list[str], least: int, keep: tuple[str
 
     blocks = F.expr("cast(array() as array<struct<n:int,has:array<int>>>)")
     if number is not None:
-        told = F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.size(b["has"]) >= least)
+        told = F.filter(F.transform(F.split("text", BLANK_LINES if paragraphs else "\n"), block), lambda b: F.size(b["has"]) >= least)
         blocks = F.transform(told, lambda b: F.struct(b["n"].alias("n"), F.transform(b["has"], lambda w: F.element_at(number, w)).alias("has")))
     labels = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(x)) for x, c in hits.items()])))
     out = some.select(
@@ -127,12 +130,12 @@ def joined(blocks: DataFrame, sets: list[tuple[str, list[str], int]], vocabulary
     return found.groupBy("row_no", "label").agg(F.max(F.col("shared") / F.col("size")).alias("score"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, keep: tuple[str, ...] = ("doc_id",), paragraphs: bool = False) -> DataFrame:
     """keep, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays) and score: 1 with a base place, else the
     largest containment of a template, 0 for none."""
     sets = template_sets(templates, containment)
     vocabulary = sorted({w for _, has, _ in sets for w in has})
-    found = prepared(docs, vocabulary, min((need for *_, need in sets), default=1), keep)
+    found = prepared(docs, vocabulary, min((need for *_, need in sets), default=1), keep, paragraphs)
     if not sets:
         return found.select(*keep, "n_words", "n_base", "first_word", "last_word", "base_labels", F.col("base_labels").alias("labels"), F.when(F.size("base_labels") > 0, 1.0).otherwise(0.0).alias("score"))
     more = joined(found, sets, vocabulary).groupBy("row_no").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))

@@ -52,11 +52,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents"))
+def op7_license_scan(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), paragraphs=paragraphs)
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op7_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_license_scan(spark, sf_dir, paragraphs=True)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return token_counts.count(table(spark, sf_dir, "documents"), token_counts.masked_digits(text))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_license_scan": op7_license_scan,
+    "op7_license_scan_wrapped": op7_license_scan_wrapped,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dups": op10_simhash_near_dups,
@@ -95,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _STRICT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
-def _license_sql() -> str:
+def _license_sql(blocks: str = "string_split(text, chr(10))") -> str:
     rows = ", ".join(f"({i}, '{label}', {has}, {need})" for i, (label, has, need) in enumerate(license_scan.template_sets()))
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
     return f"""
@@ -106,7 +111,7 @@ pos AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 place AS (SELECT rid, i - 1 AS i, label FROM pos JOIN phrase ON list_slice(w, i, i + len(p) - 1) = p),
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY rid),
 tpl AS (SELECT * FROM (VALUES {rows}) x(t, label, has, need)),
-line AS (SELECT rid, unnest(string_split(text, chr(10))) AS text FROM d),
+line AS (SELECT rid, unnest({blocks}) AS text FROM d),
 block AS (SELECT rid, list_distinct({_STRICT}) AS w FROM line),
 held AS (SELECT rid, label, max(len(list_intersect(w, has)) / len(has)) AS score FROM block, tpl WHERE len(list_intersect(w, has)) >= need GROUP BY rid, label),
 bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT rid, label FROM place) GROUP BY rid),
@@ -174,6 +179,7 @@ SQL: dict[str, str] = {
     "op9_secret_scan": _secret_sql(),
     "op6_mixing": _mixing_sql(),
     "op7_license_scan": _license_sql(),
+    "op7_license_scan_wrapped": _license_sql(f"string_split_regex(text, '{license_scan.BLANK_LINES}')"),
     "op4_decontamination": f"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_STRICT} AS w FROM documents),
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_STRICT} AS w FROM benchmark WHERE item_id IS NOT NULL),
