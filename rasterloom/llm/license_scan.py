@@ -5,7 +5,8 @@ is taken as a set of words. It holds a template if at least CONTAINMENT of the t
 among its own. The join is a prefix join: tokens are put in one global order, rarest in the corpus first; a block that shares
 o of a template's n tokens shares one of its first n - o + 1 in that order, o being the overlap needed. Blocks
 shorter than o (length filter) and pairs whose first shared token leaves too few behind it on either side (positional
-filter) are dropped before the overlap is counted. Token frequencies cover all blocks of all documents.
+filter) are dropped before the overlap is counted. Token frequencies cover the blocks
+of all documents that hold enough template tokens to count; the join is exact under any order.
 
 Only template tokens of a block can count, so one pass stores, for each document, its counts and its blocks as sets of
 template-token numbers, blocks of too few left out; order, join and check run on that small table. The templates, and so the
