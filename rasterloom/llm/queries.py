@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontamination, license_scan, lm_scoring, mixing, pu_quality, quality_rules, secret_scan, simhash_near_dups, token_counts, toxicity
-from rasterloom.llm.common import remainder, table
+from rasterloom.llm.common import remainder, stored, table
 
 
 def _classified(scores: DataFrame, mod: int, held: int) -> DataFrame:
@@ -62,8 +62,8 @@ def op7_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.masked_digits(text))
+    trees = stored(token_counts.count(table(spark, sf_dir, "documents"), trees=True).select("doc_id", "text", "tree"), "token_trees")
+    return token_counts.edited(trees, token_counts.masked_digits(F.col("text")))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

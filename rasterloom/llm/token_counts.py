@@ -4,7 +4,8 @@ A byte-level BPE counts each pre-token by itself, so a text's count is a sum ove
 pre-tokens with their length in code points and their tokens; each level above sums FAN nodes. An edit re-encodes from the leaf
 that holds the last pre-token it could touch, a few code points of context before it, up to the first pre-token boundary
 after it that the old text has too: a match of the pattern depends only on what follows its start, so from there on old and
-new pre-tokens are the same. Only sums on the changed leaves' paths are worked out again.
+new pre-tokens are the same. Only sums on the changed leaves' paths are worked out again. A tree is stored as its pre-tokens' lengths and
+tokens, cut into leaves; edited() loads stored trees, encodes nothing but what edits touch, and can give the edited ones for the next round.
 
 The vocabulary file is a parameter, read by each worker from the place given; counts of pre-tokens are kept in a bounded cache.
 Documents are independent, so it is one narrow pass; table-level edits are grouped by document first.
@@ -16,18 +17,23 @@ columns are left out; special tokens' strings are ordinary text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.lm_scoring import planed, unplaned
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern of this vocabulary: a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points beyond its end that a match may depend on: two of a contraction's, one that a white-space run looks ahead.
 AHEAD = 3
 LEAF, FAN, CACHE = 32, 16, 1 << 18
+#: Rows given back at once, as trees are larger than their texts.
+ROWS = 1000
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -172,24 +178,50 @@ class Tree:
             self.levels.append([tuple(map(sum, zip(*below[i : i + FAN], strict=True))) for i in range(0, len(below), FAN)])
 
     def packed(self) -> bytes:
-        """The leaves' (code points, pre-tokens, tokens) as three rows of int32; upper levels follow from them."""
-        return np.array(self.levels[0], np.int32).T.tobytes()
+        """Three rows of int32, a column for each pre-token: 1 where a leaf begins, its length, its tokens; deflated, and filled up with
+        zeros to whole columns' 12 bytes. All sums follow from them."""
+        begins = [int(not i) for a, _ in self.leaves for i in range(len(a))]
+        raw = zlib.compress(planed(np.array([begins, [n for a, _ in self.leaves for n in a], [n for _, b in self.leaves for n in b]], np.int32).ravel()), 1)
+        return raw + bytes(-len(raw) % 12)
+
+    @classmethod
+    def load(cls, text: str, packed: bytes, count: Callable[[str], int], find: Callable) -> Tree:
+        """The tree that packed() was called of, with its text; nothing is encoded."""
+        out = cls.__new__(cls)
+        out.text, out.count, out.find, out.encoded, out.levels = text, count, find, 0, []
+        begins, lengths, tokens = unplaned(zlib.decompressobj().decompress(packed), np.int32).reshape(3, -1)
+        at = [*np.flatnonzero(begins).tolist(), len(begins)] if len(begins) else [0, 0]
+        lengths, tokens = lengths.tolist(), tokens.tolist()
+        out.leaves = [(lengths[a:e], tokens[a:e]) for a, e in zip(at, at[1:], strict=False)]
+        out._sum(0, len(out.leaves))
+        return out
 
 
 def count(docs: DataFrame, edits: Column | None = None, vocabulary: str = VOCABULARY, trees: bool = False) -> DataFrame:
     """Per document: doc_id, n_pre_tokens, n_tokens, n_edits, n_edited_tokens (after the edits), n_encoded (code points that the edits made
-    it encode anew), and the edited text's tree if trees. edits: an array of (start, stop, text) in code points."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (edits if edits is not None else F.lit(None)).cast(EDITS).alias("edits"))
+    it encode anew), and the edited text and its tree if trees. edits: an array of (start, stop, text) in code points."""
+    return _counted(docs, F.lit(None).cast("binary"), edits, vocabulary, trees)
+
+
+def edited(stored_trees: DataFrame, edits: Column, vocabulary: str = VOCABULARY, trees: bool = False) -> DataFrame:
+    """count() of rows with the text and tree that count() or edited() gave with trees; n_pre_tokens and n_tokens are the stored ones."""
+    return _counted(stored_trees, F.col("tree"), edits, vocabulary, trees)
+
+
+def _counted(docs: DataFrame, tree: Column, edits: Column | None, vocabulary: str, trees: bool) -> DataFrame:
+    edits = (edits if edits is not None else F.lit(None)).cast(EDITS)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits.alias("edits"), tree.alias("tree"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
 
         tokens, find = counter(vocabulary), regex.compile(PATTERN)
-        for b in batches:
-            out = {k: [] for k in ("n_pre_tokens", "n_tokens", "n_edits", "n_edited_tokens", "n_encoded", "tree")}
-            for text, own in zip(b.column(1), b.column(2), strict=True):
-                t = Tree(text.as_py() or "", tokens, find)
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
+            out = {k: [] for k in ("n_pre_tokens", "n_tokens", "n_edits", "n_edited_tokens", "n_encoded", "text", "tree")}
+            for text, own, kept in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                text, kept = text.as_py() or "", kept.as_py()
+                t = Tree(text, tokens, find) if kept is None else Tree.load(text, kept, tokens, find)
                 out["n_pre_tokens"].append(t.levels[-1][0][1])
                 out["n_tokens"].append(t.tokens)
                 own, t.encoded = own.as_py() or [], 0
@@ -198,12 +230,13 @@ def count(docs: DataFrame, edits: Column | None = None, vocabulary: str = VOCABU
                 out["n_edits"].append(len(own))
                 out["n_edited_tokens"].append(t.tokens)
                 out["n_encoded"].append(t.encoded)
+                out["text"].append(t.text if trees else None)
                 out["tree"].append(t.packed() if trees else None)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["doc_id", *out])
 
-    got = some.mapInArrow(run, "doc_id long, n_pre_tokens long, n_tokens long, n_edits long, n_edited_tokens long, n_encoded long, tree binary")
-    return got if trees else got.drop("tree")
+    got = some.mapInArrow(run, "doc_id long, n_pre_tokens long, n_tokens long, n_edits long, n_edited_tokens long, n_encoded long, text string, tree binary")
+    return got if trees else got.drop("text", "tree")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY, trees: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from rasterloom.llm import token_counts as t
 from rasterloom.llm.queries import op8_token_counts
@@ -65,3 +66,25 @@ def test_edit_tables_and_odd_rows(spark, odd):
     assert t.count(odd.limit(0)).count() == 0
     packed = t.count(odd, trees=True).collect()
     assert all(len(r.tree) % 12 == 0 for r in packed)
+
+
+def test_stored_trees_take_further_rounds(spark, odd, prose):
+    e = encoding()
+    n = lambda x: len(e.encode_ordinary(x))
+    long = " ".join(prose(100))
+    docs = odd.union(spark.createDataFrame([(100, long, "en", "z", 1)], odd.schema))
+    put = F.expr("array(struct(1 as start, 2 as stop, 'new ' as text))")
+    first = t.count(docs, put, trees=True).localCheckpoint()
+    second = t.edited(first, put, trees=True).localCheckpoint()
+    after = lambda x: x[:1] + "new " + x[2:]
+    texts = [r.text or "" for r in docs.collect()]
+    assert sorted((r.text, r.n_edited_tokens) for r in first.collect()) == sorted((after(x), n(after(x))) for x in texts)
+    want = sorted((after(after(x)), n(after(x)), n(after(after(x)))) for x in texts)
+    assert sorted((r.text, r.n_tokens, r.n_edited_tokens) for r in second.collect()) == want
+    assert max(r.n_encoded for r in second.where("doc_id = 100").collect()) < 1000 < len(long)
+    find, count, encoded = regex.compile(t.PATTERN), t.counter(), []
+    for r in second.collect():
+        tree = t.Tree.load(r.text, bytes(r.tree), encoded.append, find)
+        whole = t.Tree(r.text, count, find)
+        assert tree.levels[-1] == whole.levels[-1] and tree.packed() == bytes(r.tree)
+    assert not encoded
