@@ -9,8 +9,10 @@ part turns negative its gradient is taken back, as in the non-negative estimator
 Both samples are bounded by parameters (MAX_POSITIVE, MAX_UNLABELLED) at every input size, so what is broadcast (ids, weights)
 and collected (a few thousand rows of statistics) is bounded; scoring is one narrow pass over all whole texts.
 
-Cases: null and empty texts have all statistics 0 and a score like any other; repeated rows are scored alike; an empty table
-gives an empty result; without positives or unlabelled rows every score is 0.5; further columns are left out.
+Cases: null and empty texts have all statistics 0 and a score like any other; a very long text is measured whole, in memory of a few
+times its size; repeated rows are scored alike, and of rows of one doc_id one is learnt from, that of the least statistics; ids of
+equal hash are taken in order of the id; an empty table gives an empty result; without positives or unlabelled rows every score is 0.5;
+further columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import labelled_sample
+from rasterloom.llm.common import labelled_sample, least_hashed
 
 MAX_POSITIVE, MAX_UNLABELLED, SEED = 6000, 16000, 11
 BINS = 16
@@ -182,9 +184,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Colu
     trusted = labels.where(F.col(label) == 1)
     positive = labelled_sample(trusted, label, max_positive, seed, keep).select("doc_id", F.lit(1).alias("p"))
     pool = docs.select("doc_id").where("doc_id is not null")
-    pool = (pool.where(keep) if keep is not None else pool).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(max_unlabelled)
+    pool = least_hashed(pool.where(keep) if keep is not None else pool, max_unlabelled, seed + 1)
     ids = positive.unionByName(pool.select("doc_id", F.lit(0).alias("p"))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
-    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(ids), "doc_id").collect()
+    found = _measured(docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))
+    # of rows with one id the least statistics count, so that no more than the sample's ids come to the driver
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(ids), "doc_id").collect()
     rows = sorted((r.doc_id, r.p, r.u, tuple(r.x)) for r in rows)
     x = lambda test: np.array([r[3] for r in rows if test(r)], float).reshape(-1, len(NAMES))
     return fit(x(lambda r: r[1] == 1), x(lambda r: r[2]), seed=seed)

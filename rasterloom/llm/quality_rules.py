@@ -1,7 +1,8 @@
 """Quality rules: a learned decision list over text statistics, applied as one Spark conditional expression.
 
-Cases: a null text has no words and is rejected by the base rule, as is an empty one; ratios of an empty text are 0;
-repeated rows are each judged alone; an empty table gives an empty result; further columns are left out of the result
+Cases: a null text has no words and is rejected by the base rule, as is an empty one; ratios of an empty text are 0; a very long text is
+judged whole, in O(n log n) of its words; repeated rows are each judged alone, and of rows of one doc_id one is learnt from, that of
+the least statistics; of rules of equal gain the first by feature and threshold is taken; an empty table gives an empty result; further columns are left out of the result
 of decide() unless named in keep; without usable labels the list is empty and only the base rule rejects.
 """
 
@@ -171,8 +172,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     # what fails the base rule is left out here, not by a filter: Catalyst would take that below the join, and work out every text's statistics
     got = statistics(known.select("doc_id", "text", "label"), ("doc_id", "label"))
-    rows = got.select("doc_id", (F.col("label") == 0).alias("bad"), *[F.col(f).cast("double").alias(f"_{f}") for f in FEATURES], base_failed().alias("failed")).collect()
-    return grow_list([tuple(r)[1:-1] for r in sorted(rows, key=tuple) if not r.failed], **grow)
+    seen = F.struct((F.col("label") == 0).alias("bad"), *[F.col(f).cast("double").alias(f) for f in FEATURES], base_failed().alias("failed"))
+    # of rows with one id the least counts, so that no more than the sample's ids come to the driver
+    rows = got.select("doc_id", seen.alias("x")).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    return grow_list([tuple(r.x)[:-1] for r in sorted(rows, key=lambda r: r.doc_id) if not r.x.failed], **grow)
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -185,10 +188,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents kept, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text", F.monotonically_increasing_id().alias("_row"))
-    judged = statistics(whole, ("_doc", "_row")).select("_doc", "_row", (~base_failed() & (verdict(rules) == 0)).alias("_kept"))
-    # the row's number keeps the filter where it is: taken below the projections, it would work out the words once for each use
-    return judged.where("_kept and _row >= 0").select("_doc.*")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text")
+    # the verdict is worked out and taken in one generator: a filter would be moved below the projections, to work out the words once for each use
+    kept = F.when(~base_failed() & (verdict(rules) == 0), F.array("_doc"))
+    return statistics(whole, ("_doc",)).select(F.explode(kept).alias("_doc")).select("_doc.*")
 
 
 def decide(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

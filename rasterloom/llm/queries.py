@@ -154,11 +154,11 @@ FROM run WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END >
 def _secret_sql() -> str:
     lit = lambda p: "'" + p.replace("'", "''") + "'"
     x = secret_scan
-    base = {0: x.ASSIGN, 1: x.ACCESS, 2: x.HEX, 3: x.IDENT, 4: x.BLOB, 5: x.ENDPOINT}
+    patterns = {0: x.ASSIGN, 1: x.ACCESS, 2: x.HEX, 3: x.IDENT, 4: x.BLOB, 5: x.ENDPOINT, 6: x.BLANK_LINES}
     found = " UNION ALL ".join(
         f"SELECT rid, {k} AS k, i, m, g, {'len(v) >= 6' if k == 0 else 'true'} AS ok FROM (SELECT rid, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g{', unnest(vs) AS v' if k == 0 else ''}"
         f" FROM (SELECT rid, regexp_extract_all(t, {lit(p)}) AS ms, string_split_regex(t, {lit(p)}) AS gs{f', regexp_extract_all(t, {lit(p)}, 1) AS vs' if k == 0 else ''} FROM d))"
-        for k, p in base.items()
+        for k, p in patterns.items()
     )
     names = "CASE k " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(x.KINDS)) + " END"
     listed = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k)"
@@ -166,11 +166,14 @@ def _secret_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
 p AS (SELECT rid, k, m, ok, CAST(sum(len(g)) OVER w + sum(len(m)) OVER w - len(m) AS BIGINT) AS s, CAST(sum(len(g)) OVER w + sum(len(m)) OVER w AS BIGINT) AS e FROM f WINDOW w AS (PARTITION BY rid, k ORDER BY i)),
-q AS (SELECT rid, k, s, e FROM p WHERE ok AND (k <> 4 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')))),
-l AS (SELECT DISTINCT a.rid, a.k, a.s, a.e FROM q a JOIN q b ON a.rid = b.rid AND (a.k = 4) = (b.k IN (1, 3, 5)) AND b.e + {x.REACH} >= a.s AND b.s <= a.e + {x.REACH} WHERE a.k >= 3
+n AS (SELECT rid, k, s, e, m, ok, max(CASE WHEN k = 6 THEN s END) OVER (PARTITION BY rid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+  min(CASE WHEN k = 6 THEN s END) OVER (PARTITION BY rid ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM p),
+q AS (SELECT n.rid, k, s, e, coalesce(lo, 0) AS lo, coalesce(hi, len(t)) - coalesce(lo, 0) <= {x.SECTION} AS short FROM n JOIN d USING (rid) WHERE ok AND k < 6 AND (k <> 4 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')))),
+l AS (SELECT DISTINCT a.rid, a.k, a.s, a.e FROM q a JOIN q b ON a.rid = b.rid AND (a.k = 4) = (b.k IN (1, 3, 5)) AND (b.e <= a.s OR b.s >= a.e)
+  AND ((b.e + {x.REACH} >= a.s AND b.s <= a.e + {x.REACH}) OR (a.short AND a.lo = b.lo)) WHERE a.k >= 3
   AND NOT EXISTS (SELECT 1 FROM q c WHERE c.rid = a.rid AND c.k < 3 AND c.s < a.e AND c.e > a.s)),
 b AS (SELECT rid, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS n2, {listed} AS base FROM q WHERE k < 3 GROUP BY rid),
-a AS (SELECT rid, {listed} AS spans FROM (SELECT * FROM q WHERE k < 3 UNION ALL SELECT * FROM l) GROUP BY rid)
+a AS (SELECT rid, {listed} AS spans FROM (SELECT rid, k, s, e FROM q WHERE k < 3 UNION ALL SELECT * FROM l) GROUP BY rid)
 SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 

@@ -9,6 +9,8 @@ from tests.oracle import compare
 
 def brute(text, reach=s.REACH):
     text = text or ""
+    bounds = [m.start() for m in re.finditer(s.BLANK_LINES, text)]
+    section = lambda x: (max([0, *[p for p in bounds if p <= x]]), min([len(text), *[p for p in bounds if p > x]]))
     name = re.compile("(password|passwd|secret|token|api_?key)", re.IGNORECASE | re.ASCII).pattern
     found = [(m.start(), 0, m.end()) for m in re.finditer(rf"(?ia:{name})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -19,7 +21,8 @@ def brute(text, reach=s.REACH):
     added = []
     for a, k, b in weak:
         want = (1, 3, 5) if k == 4 else (0, 2, 4)
-        near = any(q in want and (x, q) != (a, k) and y + reach >= a and x <= b + reach for x, q, y in found + weak)
+        lo, hi = section(a)
+        near = any(q in want and (y <= a or x >= b) and ((y + reach >= a and x <= b + reach) or (hi - lo <= s.SECTION and section(x)[0] == lo)) for x, q, y in found + weak)
         if near and not any(x < b and y > a for x, q, y in found):
             added.append((a, k, b))
     return sorted(found), sorted(found + added)
@@ -47,6 +50,12 @@ TEXTS = [
     "user=bob token=abcdef " + "x " * 300 + " https://far.example.com " + "y " * 300 + " 10.0.0.1 secret=qwerty12",
     "𝒳 " * 50 + "password='hunter2hunter2' 10.1.2.3:80",
     "token=abcdef " * 500,
+    "https://example.com/2024/05/some-article-title-long stands alone",
+    "see https://example.com/2024/05/some-article-title-long and wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1",
+    "DB_USER=admin_of_the_base\n" + "# comment\n" * 40 + "DB_PASS wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1\n \t\nUsername: other_one\n",
+    "Username: far_off\n\n" + "x\n" * 200 + "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1 at the end",
+    "Username" + " " * 30 + "= " + "n" * 300 + " with wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1",
+    "user=one\n" + "y " * 1200 + "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1",
 ]
 
 
@@ -65,15 +74,17 @@ def test_odd_rows_edges_and_empty_tables(spark, odd):
     more = spark.createDataFrame([(100 + i, t, "en", "z", 1) for i, t in enumerate(TEXTS)], odd.schema)
     docs = odd.union(more)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = Counter((r.doc_id, tuple(map(tuple, r.base)), tuple(map(tuple, r.spans))) for r in s.scan(docs.selectExpr("*", "1 as base", "2 as k1")).collect())
+    got = Counter((r.doc_id, tuple(map(tuple, r.base)), tuple(map(tuple, r.spans))) for r in s.scan(docs.selectExpr("*", "1 as base", "2 as weak", "3 as maybe")).collect())
     assert got == Counter((d, *(tuple(x) for x in brute(t))) for d, t in rows)
     assert s.scan(docs.limit(0)).count() == 0 and s.redact(docs.limit(0)).count() == 0
 
 
 def test_redaction(spark, odd):
     docs = spark.createDataFrame([(i, t, "en", "z", len(t)) for i, t in enumerate(TEXTS)], odd.schema).union(odd)
+    docs = docs.selectExpr("*", "'one' as _1", "'two' as _2", "'doc' as _doc", "'t' as _text", "1 as spans")
     out = s.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    assert {(r._1, r._2, r._doc, r._text, r.spans) for r in out.collect()} == {("one", "two", "doc", "t", 1)}
     for r in out.where("doc_id >= 0 and source = 'z'").collect():
         text, at, last = TEXTS[r.doc_id], [], -1
         for a, _, b in brute(text)[1]:
@@ -83,3 +94,14 @@ def test_redaction(spark, odd):
         for a, b in reversed(at):
             text = text[:a] + "[secret]" + text[b:]
         assert r.text == text and r.n_chars == len(text)
+
+
+def test_many_matches_in_a_long_text(spark, odd):
+    piece = "user=someone at 10.0.0.1 token=abcdefgh é "
+    n = 33_000
+    docs = spark.createDataFrame([(1, piece * n, "en", "z", 1)], odd.schema)
+    r = s.scan(docs).first()
+    _, one = brute(piece)
+    assert len(r.base) == n and len(r.spans) == n * len(one) == 3 * n
+    assert [tuple(x) for x in r.spans[-3:]] == [(a + (n - 1) * len(piece), k, b + (n - 1) * len(piece)) for a, k, b in one]
+    assert s.redact(docs).first().text == "[secret] at [secret] [secret] é " * n
