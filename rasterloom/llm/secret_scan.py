@@ -32,7 +32,7 @@ def _any_case(*names: str) -> str:
     return "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in names) + ")"
 
 
-ASSIGN = "(?:" + _any_case("password", "passwd", "secret", "token") + "|" + _any_case("api") + "_?" + _any_case("key") + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ASSIGN = _any_case("password", "passwd", "secret", "token", "api_?key") + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Mail addresses, whose parts are as long as the format allows (64 and 63), and named accounts.
@@ -78,7 +78,9 @@ def parts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     some = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, ins, strict=True)], text.alias("text"))
     t, none = F.col("text"), F.expr(_NONE)
     access = F.when(t.contains("AKIA"), _spans(t, ACCESS, 1)).otherwise(none)
-    base = F.concat(_spans(t, ASSIGN, 0, _long_value), access, _spans(t, HEX, 2))
+    # an assignment has one of its signs, and looking for these is cheap
+    assign = F.when(t.contains("=") | t.contains(":"), _spans(t, ASSIGN, 0, _long_value)).otherwise(none)
+    base = F.concat(assign, access, _spans(t, HEX, 2))
     some = some.select(*ins, "text", F.sort_array(base).alias("base"))
     some = some.select(*ins, "text", "base", ((F.size("base") > 0) | (t.rlike("[0-9]") & (t.rlike(IDENT) | t.rlike(ENDPOINT)))).alias("maybe"))
     weak = F.sort_array(F.concat(_spans(t, IDENT, 3), _spans(t, BLOB, 4, _mixed), _spans(t, ENDPOINT, 5)))
