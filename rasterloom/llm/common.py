@@ -49,7 +49,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         system.deleteOnExit(path)
     _TABLES.append((app, at))
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
 
 
 def mark() -> int:
@@ -58,10 +60,10 @@ def mark() -> int:
 
 
 def clear_stored(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes this application's tables that stored() made since mark(), but for keep's; no other result that reads them may be in use."""
-    app, kept = spark.sparkContext.applicationId, keep.inputFiles()[:1] if keep is not None else []
+    """Deletes this application's tables that stored() made since mark(), but for keep, itself one of them; no other result that reads them may be in use."""
+    app = spark.sparkContext.applicationId
     for i, (a, at) in enumerate(_TABLES):
-        if i >= since and a == app and not any(at.rsplit("/", 1)[1] in f for f in kept):
+        if i >= since and a == app and at != getattr(keep, "stored_at", None):
             path, system = _path(spark, at)
             system.delete(path, True)
 

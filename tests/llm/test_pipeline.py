@@ -57,11 +57,13 @@ def test_rows_against_plain_python(spark, sf_dir):
 
 
 def test_stages_bear_odd_rows_and_empty_tables(spark, sf_dir, odd):
-    docs = odd.selectExpr("*", "1 as n_words", "'x' as root", "2 as copies")
+    docs = odd.selectExpr("*", "1 as n_words", "'x' as root", "2 as copies", "3 as _1", "4 as _2", "5 as _d", "6 as _k1", "7 as _key", "8 as id", "9 as _doc", "10 as k1")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.columns == (docs.columns if name != "mixing" else [c for c in docs.columns if c != "copies"] + ["copies"])
-        assert out.count() <= docs.count()
+        rows = out.collect()
+        assert len(rows) <= docs.count()
+        assert {(r._1, r._2, r._d, r._k1, r._key, r.id, r._doc, r.k1) for r in rows} <= {(3, 4, 5, 6, 7, 8, 9, 10)}
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 

@@ -57,7 +57,7 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert s.near_dups(odd.limit(0)).count() == 0
 
 
-def test_links_and_chains_of_planted_fingerprints(spark):
+def test_links_and_chains_of_planted_fingerprints(spark, monkeypatch):
     r = random.Random(5)
     fps = [r.getrandbits(64) for _ in range(300)]
     for x in fps[:120]:
@@ -69,12 +69,35 @@ def test_links_and_chains_of_planted_fingerprints(spark):
     fps = sorted(set(fps), key=lambda x: x - (1 << 64) if x >> 63 else x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    passed = {x.fp for x in s.pigeonring(df).collect()}
+    passed = {x.fp for x in s.candidates(df).collect()}
     a = np.array(fps, np.uint64)
     linked = {signed[i] for i in range(len(a)) if (np.bitwise_count(a ^ a[i]) <= 2).sum() > 1}
     assert linked <= passed and len(passed) < len(fps)
+    for hot in (s.HOT, 1, 3):  # all keys compared pair by pair, dealt anew, or both
+        monkeypatch.setattr(s, "HOT", hot)
+        edges = s.links(df).collect()
+        assert all((x.a ^ x.b).bit_count() <= 2 or ((x.a ^ x.b) & (2**64 - 1)).bit_count() <= 2 for x in edges)
+        tree = {x.a: x.b for x in s.components(s.links(df)).collect()}
+        assert [tree.get(x, x) for x in signed] == [signed[i] for i in reach(fps)]
+
+
+def test_chains_hold_all_pairs_within_the_distance(spark):
+    r, rows = random.Random(6), []
+    for n in (0, 1, 2, 3, 4, 6):
+        rows += [(n, sum(1 << b for b in r.sample(range(64), n))) for _ in range(300)]
+    rows = [(n, x - (1 << 64) if x >> 63 else x) for n, x in rows]
+    got = spark.createDataFrame(rows, "n int, x long").select("n", s.chained(s.F.col("x")).alias("ok")).collect()
+    assert all(g.ok for g in got if g.n <= 2) and not all(g.ok for g in got if g.n > 2)
+
+
+def test_a_large_group_of_near_copies(spark):
+    r = random.Random(8)
+    base = r.getrandbits(63)
+    fps = sorted({base ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 2))) for _ in range(1500)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
     tree = {x.a: x.b for x in s.components(s.links(df)).collect()}
-    assert [tree.get(x, x) for x in signed] == [signed[i] for i in reach(fps)]
+    assert [fps.index(tree.get(x, x)) for x in fps] == reach(fps) == [0] * len(fps)
+    assert s.links(df).count() < 40 * 6 * len(fps)
 
 
 def test_components_of_a_path_and_a_star(spark):
