@@ -62,8 +62,9 @@ def op7_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores each document's text and tree; then edits nearly all of the stored ones, encoding what the edits touch."""
     trees = stored(token_counts.count(table(spark, sf_dir, "documents"), trees=True).select("doc_id", "text", "tree"), "token_trees")
-    return token_counts.edited(trees, token_counts.masked_digits(F.col("text")))
+    return token_counts.edited(trees, token_counts.unwrapped(F.col("text")))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

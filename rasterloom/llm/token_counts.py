@@ -4,19 +4,22 @@ A byte-level BPE counts each pre-token by itself, so a text's count is a sum ove
 pre-tokens with their length in code points and their tokens; each level above sums FAN nodes. An edit re-encodes from the leaf
 that holds the last pre-token it could touch, a few code points of context before it, up to the first pre-token boundary
 after it that the old text has too: a match of the pattern depends only on what follows its start, so from there on old and
-new pre-tokens are the same. Only sums on the changed leaves' paths are worked out again. A tree is stored as its pre-tokens' lengths and
+new pre-tokens are the same. Changed leaves grow to twice LEAF before leaves are added, and only sums on their paths are worked out
+again. Many edits of one text are one pass over it. A tree is stored as its pre-tokens' lengths and
 tokens, cut into leaves; edited() loads stored trees, encodes nothing but what edits touch, and can give the edited ones for the next round.
 
 The vocabulary file is a parameter, read by each worker from the place given; counts of pre-tokens are kept in a bounded cache.
 Documents are independent, so it is one narrow pass; table-level edits are grouped by document first.
 
 Cases: null and empty texts have no tokens and a tree of one empty node; edits beyond the text are cut to it; edits are applied in the order
-given, each to the text its predecessors left; repeated rows are counted alike; an empty table gives an empty result; further
+given, each to the text its predecessors left; a very long text is one row's work, in memory of a few times its size; edits at one place
+take effect in their order; repeated rows are counted alike; an empty table gives an empty result; further
 columns are left out; special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,9 +27,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import match_starts
 from rasterloom.llm.lm_scoring import planed, unplaned
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where workers find the vocabulary file unless told otherwise.
+VOCABULARY = os.environ.get("RASTERLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The public pre-token pattern of this vocabulary: a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points beyond its end that a match may depend on: two of a contraction's, one that a white-space run looks ahead.
@@ -61,52 +66,57 @@ def counter(vocabulary: str = VOCABULARY) -> Callable[[str], int]:
     return count
 
 
+def batches(edits: list[tuple[int, int, str]], length: int) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs of edits that can be put in at once, each in ascending order and in the places of the text before its run.
+
+    Edits are (start, stop, text), each in the places of the text that its predecessors left; length is that of the text before all."""
+    run: list[tuple[int, int, str]] = []
+    order, shift, now = 0, 0, length  # 1: ascending, -1: descending; what the run has moved places behind it by; the text's length
+    for start, stop, text in edits:
+        start = max(0, min(start, now))
+        stop = max(start, min(stop, now))
+        if run and order >= 0 and start - shift >= run[-1][1]:  # behind what the last one put in
+            order, place = 1, (start - shift, stop - shift, text)
+        elif run and order <= 0 and stop <= run[-1][0]:
+            order, place = -1, (start, stop, text)
+        else:
+            if run:
+                yield run[::-1] if order < 0 else run
+            run, order, shift, place = [], 0, 0, (start, stop, text)
+        run.append(place)
+        shift += len(text) - (stop - start)
+        now += len(text) - (stop - start)
+    if run:
+        yield run[::-1] if order < 0 else run
+
+
 class Tree:
     """Pre-tokens of a text in leaves, with sums of (code points, pre-tokens, tokens) on each level up to the root."""
 
     def __init__(self, text: str, count: Callable[[str], int], find: Callable) -> None:
         self.text, self.count, self.find = text, count, find
         self.encoded = len(text)
-        lengths, tokens = self._pieces(0, None)[:2]
-        cut = range(0, max(1, len(lengths)), LEAF)
-        self.leaves = [(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in cut]
-        self.levels: list[list[tuple[int, int, int]]] = []
-        self._sum(0, len(self.leaves))
-
-    def _pieces(self, start: int, stop: Callable[[int], bool] | None) -> tuple[list[int], list[int], int]:
-        """Lengths and tokens of the pre-tokens from a boundary on, until stop holds of a boundary; and where that was."""
-        lengths, tokens, at = [], [], start
-        if stop is None and not start:  # the whole text, without match objects
-            pieces = self.find.findall(self.text)
-            return list(map(len, pieces)), list(map(self.count, pieces)), len(self.text)
-        for m in self.find.finditer(self.text, start):
-            if stop is not None and stop(at):
-                return lengths, tokens, at
-            lengths.append(m.end() - m.start())
-            tokens.append(self.count(m.group()))
-            at = m.end()
-        return lengths, tokens, at
-
-    def _sum(self, first: int, last: int) -> None:
-        """Sums anew what stands over the leaves from first to last; all levels if their number of nodes changed."""
-        base = [(sum(a), len(a), sum(b)) for a, b in self.leaves[first:last]]
-        if not self.levels or len(self.levels[0]) != len(self.leaves):
-            kept = self.levels[0] if self.levels else []
-            tail = len(self.leaves) - last
-            self.levels = [kept[:first] + base + (kept[len(kept) - tail :] if tail else [])]
-            lo, hi, whole = 0, len(self.leaves), True
-        else:
-            self.levels[0][first:last] = base
-            lo, hi, whole = first, last, False
-        k = 0
-        while len(self.levels[k]) > 1:
-            lo, hi, below = lo // FAN, -(-hi // FAN), self.levels[k]
-            sums = [tuple(map(sum, zip(*below[i * FAN : (i + 1) * FAN], strict=True))) for i in range(lo, hi)]
-            if whole:
-                self.levels[k + 1 :] = [sums]
-            else:
-                self.levels[k + 1][lo:hi] = sums
-            k += 1
+        pieces = find.findall(text)
+        lengths, tokens = list(map(len, pieces)), list(map(count, pieces))
+        self.leaves = [(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, max(1, len(lengths)), LEAF)]
+        self._build()
+
+    def _build(self) -> None:
+        """All sums, from the leaves."""
+        self.levels: list[list[tuple[int, int, int]]] = [[(sum(a), len(a), sum(b)) for a, b in self.leaves]]
+        while len(self.levels[-1]) > 1:
+            below = self.levels[-1]
+            self.levels.append([tuple(map(sum, zip(*below[i : i + FAN], strict=True))) for i in range(0, len(below), FAN)])
+
+    def _rise(self, changed: set[int]) -> None:
+        """Sums anew what stands over the changed leaves, and nothing else."""
+        for i in changed:
+            a, b = self.leaves[i]
+            self.levels[0][i] = (sum(a), len(a), sum(b))
+        for low, high in zip(self.levels, self.levels[1:], strict=False):
+            changed = {i // FAN for i in changed}
+            for i in changed:
+                high[i] = tuple(map(sum, zip(*low[i * FAN : (i + 1) * FAN], strict=True)))
 
     @property
     def tokens(self) -> int:
@@ -126,56 +136,84 @@ class Tree:
 
     def edit(self, start: int, stop: int, text: str) -> None:
         """Puts text in place of what stands from start to stop."""
-        start = max(0, min(start, len(self.text)))
-        stop = max(start, min(stop, len(self.text)))
-        low, begin = self._leaf_at(max(0, start - AHEAD))
-        self.text = self.text[:start] + text + self.text[stop:]
-        shift = len(text) - (stop - start)
-        # old boundaries behind the edit, leaf by leaf as the new pre-tokens reach them
-        high, reached = low, begin
-        ends: dict[int, tuple[int, int]] = {}
-
-        def meets(at: int) -> bool:
-            nonlocal high, reached
-            while high < len(self.leaves) and reached <= at - shift:
-                place = reached
-                for i, n in enumerate(self.leaves[high][0]):
-                    if place >= stop:
-                        ends[place] = (high, i)
-                    place += n
-                reached, high = place, high + 1
-            return at >= start + len(text) and at - shift in ends
-
-        lengths, tokens, at = self._pieces(begin, meets)
-        if at < len(self.text) and at - shift in ends:
-            leaf, i = ends[at - shift]
-            lengths += self.leaves[leaf][0][i:]
-            tokens += self.leaves[leaf][1][i:]
-            last = leaf + 1
-        else:
-            last = len(self.leaves)
-        self.encoded += at - begin
-        if not lengths and last - low < len(self.leaves):
-            new = []
-        else:
-            n = max(1, round(len(lengths) / LEAF))
-            size = -(-max(1, len(lengths)) // n)
-            new = [(lengths[i : i + size], tokens[i : i + size]) for i in range(0, max(1, len(lengths)), size)]
-        old = len(self.leaves)
-        self.leaves[low:last] = new
-        if len(self.leaves) != old:
-            self.levels[0] = self.levels[0][:low] + [(0, 0, 0)] * len(new) + self.levels[0][last:]
-            sums = [(sum(a), len(a), sum(b)) for a, b in new]
-            self.levels[0][low : low + len(new)] = sums
-            self.levels = self.levels[:1]
-            self._rise()
-        else:
-            self._sum(low, low + len(new))
-
-    def _rise(self) -> None:
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append([tuple(map(sum, zip(*below[i : i + FAN], strict=True))) for i in range(0, len(below), FAN)])
+        self.apply([(start, stop, text)])
+
+    def apply(self, edits: list[tuple[int, int, str]]) -> None:
+        """Puts edits (start, stop, text) in, in the order given, each in the places of the text that its predecessors left."""
+        for run in batches(edits, len(self.text)):
+            self._put(run)
+
+    def _put(self, edits: list[tuple[int, int, str]]) -> None:
+        """Ascending edits that don't overlap, in one pass from left to right: the text is joined once, and each region is encoded anew
+        from the leaf that its first edit could touch to the first boundary that the old text has too."""
+        parts, at = [], 0
+        for start, stop, text in edits:
+            parts += (self.text[at:start], text)
+            at = stop
+        text = "".join([*parts, self.text[at:]])
+        regions, k, shift = [], 0, 0
+        while k < len(edits):
+            low, begin = self._leaf_at(max(0, edits[k][0] - AHEAD))
+            lengths, tokens, clear = [], [], -1
+            here = first = begin + shift
+            leaf, item, place, last = low, 0, begin, len(self.leaves)
+            for m in self.find.finditer(text, here):
+                here = m.start()
+                # edits that the pre-tokens so far have come to; boundaries of old and new text are then shift apart, from clear on
+                while k < len(edits) and (clear < 0 or here - shift >= edits[k][0] - AHEAD):
+                    clear = edits[k][1]
+                    shift += len(edits[k][2]) - (edits[k][1] - edits[k][0])
+                    k += 1
+                if here - shift >= clear:
+                    old = here - shift
+                    while place < old and leaf < len(self.leaves):
+                        own = self.leaves[leaf][0]
+                        if item == len(own):
+                            leaf, item = leaf + 1, 0
+                        else:
+                            place += own[item]
+                            item += 1
+                    if place == old and leaf < len(self.leaves):
+                        own, counts = self.leaves[leaf]
+                        if k == len(edits) or place + sum(own[item:]) <= edits[k][0] - AHEAD:
+                            lengths += own[item:]
+                            tokens += counts[item:]
+                            last = leaf + 1
+                            break
+                lengths.append(m.end() - here)
+                tokens.append(self.count(m.group()))
+                here = m.end()
+            else:
+                # the text ends here, whatever edits are left lie in its last pre-token
+                while k < len(edits):
+                    shift += len(edits[k][2]) - (edits[k][1] - edits[k][0])
+                    k += 1
+            self.encoded += here - first
+            regions.append((low, last, lengths, tokens))
+        self.text = text
+        self._replace(regions)
+
+    def _replace(self, regions: list) -> None:
+        """New pre-tokens of leaves low to last, in as many leaves if these hold them, so that only their paths are summed anew."""
+        changed, grown, moved = set(), [], False
+        for low, last, lengths, tokens in regions:
+            n, slots = len(lengths), last - low
+            if n > 2 * LEAF * slots:
+                slots, moved = -(-n // LEAF), True
+            new = [(lengths[i * n // slots : (i + 1) * n // slots], tokens[i * n // slots : (i + 1) * n // slots]) for i in range(slots)]
+            grown.append((low, last, new))
+            changed.update(range(low, last))
+        if not moved:
+            for low, last, new in grown:
+                self.leaves[low:last] = new
+            self._rise(changed)
+            return
+        leaves, at = [], 0
+        for low, last, new in grown:
+            leaves += self.leaves[at:low] + new
+            at = last
+        self.leaves = leaves + self.leaves[at:]
+        self._build()
 
     def packed(self) -> bytes:
         """Three rows of int32, a column for each pre-token: 1 where a leaf begins, its length, its tokens; deflated, and filled up with
@@ -188,12 +226,12 @@ class Tree:
     def load(cls, text: str, packed: bytes, count: Callable[[str], int], find: Callable) -> Tree:
         """The tree that packed() was called of, with its text; nothing is encoded."""
         out = cls.__new__(cls)
-        out.text, out.count, out.find, out.encoded, out.levels = text, count, find, 0, []
+        out.text, out.count, out.find, out.encoded = text, count, find, 0
         begins, lengths, tokens = unplaned(zlib.decompressobj().decompress(packed), np.int32).reshape(3, -1)
         at = [*np.flatnonzero(begins).tolist(), len(begins)] if len(begins) else [0, 0]
         lengths, tokens = lengths.tolist(), tokens.tolist()
         out.leaves = [(lengths[a:e], tokens[a:e]) for a, e in zip(at, at[1:], strict=False)]
-        out._sum(0, len(out.leaves))
+        out._build()
         return out
 
 
@@ -225,8 +263,7 @@ def _counted(docs: DataFrame, tree: Column, edits: Column | None, vocabulary: st
                 out["n_pre_tokens"].append(t.levels[-1][0][1])
                 out["n_tokens"].append(t.tokens)
                 own, t.encoded = own.as_py() or [], 0
-                for e in own:
-                    t.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                t.apply([(e["start"] or 0, e["stop"] or 0, e["text"] or "") for e in own])
                 out["n_edits"].append(len(own))
                 out["n_edited_tokens"].append(t.tokens)
                 out["n_encoded"].append(t.encoded)
@@ -247,17 +284,10 @@ def with_edits(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY,
     return count(both, column, vocabulary, trees)
 
 
-def masked_digits(text: Column, least: int = 6, mark: str = "<num>") -> Column:
-    """Edits that put mark in place of each run of least or more digits, the last run first, so that places hold."""
-    pattern = f"[0-9]{{{least},}}"
-    runs, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.expr(f"cast(array() as {EDITS})")
-    first = F.struct(F.lit(0).alias("p"), none.alias("a"))
-
-    def step(acc: Column, z: Column) -> Column:
-        s = acc["p"] + F.length(z["g"])
-        e = s + F.length(z["m"])
-        return F.struct(e.alias("p"), F.concat(acc["a"], F.array(F.struct(s.alias("start"), e.alias("stop"), F.lit(mark).alias("text")))).alias("a"))
-
-    pairs = F.filter(F.zip_with(gaps, runs, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda z: z["m"].isNotNull())
-    return F.when(text.rlike(pattern), F.reverse(F.aggregate(pairs, first, step, lambda acc: acc["a"]))).otherwise(none)
+def unwrapped(text: Column, least: int = 6, mark: str = "<num>") -> Column:
+    """Edits that join a text's lines by spaces and put mark in place of each run of least or more digits, the last one first, so
+    that places hold."""
+    found = match_starts(text, f"[0-9]{{{least},}}|\\r?\\n")
+    put = lambda x: F.when(x["m"].startswith("\r") | x["m"].startswith("\n"), " ").otherwise(mark)
+    edits = F.transform(found, lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("stop"), put(x).alias("text")))
+    return F.reverse(edits).cast(EDITS)

@@ -18,10 +18,13 @@ def encoding():
 def test_whole_counts_and_masked_digits(spark, sf_dir):
     e = encoding()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    edited = 0
     for r in op8_token_counts(spark, sf_dir).collect():
-        after, n = regex.subn("[0-9]{6,}", "<num>", text[r.doc_id])
+        after, n = regex.subn("[0-9]{6,}|\r?\n", lambda m: " " if m[0][-1] == "\n" else "<num>", text[r.doc_id])
+        edited += n > 0
         assert (r.n_tokens, r.n_edits, r.n_edited_tokens) == (len(e.encode_ordinary(text[r.doc_id])), n, len(e.encode_ordinary(after)))
         assert r.n_encoded <= n * 600
+    assert edited > 0.8 * len(text)
 
 
 def test_random_edits(monkeypatch, prose):
@@ -38,8 +41,24 @@ def test_random_edits(monkeypatch, prose):
             text = text[:a] + put + text[max(a, b) :]
             tree.edit(a, b, put)
             assert tree.text == text
-            assert tree.tokens == len(e.encode_ordinary(text))
+            if r.random() < 0.5:  # several at once, in any order
+                many = []
+                for _ in range(r.randint(2, 6)):
+                    a = r.randint(0, len(text) + 1)
+                    b = min(len(text), a + r.choice([0, 0, 1, 4]))
+                    many.append((a, b, r.choice(bits)))
+                    text = text[:a] + many[-1][2] + text[max(a, b) :]
+                    if r.random() < 0.4:
+                        a, b = sorted((r.randint(0, len(text)), r.randint(0, len(text))))
+                        spots = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 4)))
+                        more = [(x, min(y, x + 2), r.choice(bits)) for x, y in zip(spots, spots[1:], strict=False)]
+                        for x, y, put in reversed(more):
+                            text = text[:x] + put + text[y:]
+                        many += reversed(more)
+                tree.apply(many)
+                assert tree.text == text
             lengths = [n for leaf, _ in tree.leaves for n in leaf]
+            assert tree.tokens == len(e.encode_ordinary(text))
             assert lengths == [len(x) for x in find.findall(text)]
             assert tree.levels[-1][0][:2] == (len(text), len(lengths)) and len(tree.levels[-1]) == 1
             for low, high in zip(tree.levels, tree.levels[1:], strict=False):
@@ -88,3 +107,29 @@ def test_stored_trees_take_further_rounds(spark, odd, prose):
         whole = t.Tree(r.text, count, find)
         assert tree.levels[-1] == whole.levels[-1] and tree.packed() == bytes(r.tree)
     assert not encoded
+
+
+def test_many_edits_of_a_long_text_are_one_pass(spark, odd):
+    find, count = regex.compile(t.PATTERN), t.counter()
+    text = "some words 1234567 and\n more of them\n" * 50_000
+    spots = [m.span() for m in regex.finditer("[0-9]{6,}|\n", text)]
+    for order in (1, -1):
+        tree, shift, edits = t.Tree(text, count, find), 0, []
+        for a, b in spots[::order]:
+            edits.append((a + shift, b + shift, "<num>" if b - a > 1 else " "))
+            shift += (len(edits[-1][2]) - (b - a)) if order > 0 else 0
+        assert len(list(t.batches(edits, len(text)))) == 1 and len(edits) == 150_000
+        tree.apply(edits)
+        after = regex.sub("\n", " ", regex.sub("[0-9]{6,}", "<num>", text))
+        assert tree.text == after and tree.levels[-1] == t.Tree(after, count, find).levels[-1]
+    found = spark.createDataFrame([(1, text, "en", "z", 1)], odd.schema).select(t.unwrapped(F.col("text")).alias("e")).first().e
+    assert [(x.start, x.stop) for x in found] == spots[::-1]
+
+
+def test_one_edit_sums_one_path(prose, monkeypatch):
+    find, count = regex.compile(t.PATTERN), t.counter()
+    tree = t.Tree(" ".join(prose(400)), count, find)
+    kept = [list(level) for level in tree.levels]
+    monkeypatch.setattr(tree, "_build", None)
+    tree.edit(1000, 1003, "a few more words than there were")
+    assert all(sum(x is not y for x, y in zip(a, b, strict=True)) <= 2 for a, b in zip(kept, tree.levels, strict=True))
