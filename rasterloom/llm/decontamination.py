@@ -1,37 +1,44 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-build_index() cuts the corpus into blocks of documents and stores, for each block, the postings of the benchmark's terms:
-for each term its places, ascending, in a numbering that leaves a gap after each document so that no phrase runs on into the next one.
-A block is one row of a table in the shared folder; nothing is shuffled. search() takes the terms' corpus frequencies from the
-stored postings, then intersects, block by block, each window's lists from its rarest term on, each shifted by the term's
-offset: most windows end at the first, empty list. With slop > 0 it also gives proximity matches: the window's words in
-order, each within slop places of where the phrase has it, relative to its rarest word.
+build_index() cuts the corpus into blocks of documents and stores, for each block, the postings of all its terms: for each
+term, told by its 64-bit hash, its places, ascending, in a numbering that leaves a gap after each document, so that no phrase runs on into
+the next one. A block is one row of a table in the shared folder; nothing is shuffled, and the index knows nothing of the benchmark: any
+number of searches can read it.
 
-The benchmark's windows go to the tasks in blocks of BLOCK_WINDOWS, so what a task holds is bounded whatever the benchmark's size.
+The benchmark's windows are a table. Their terms are joined to the terms' corpus frequencies, summed from the postings; windows
+with a term that is nowhere end there, of the others each knows its terms from the rarest on. They are then packed into blocks of at
+most about BLOCK_WINDOWS pairs of window and item, and search() goes through the index once for each: it intersects, for each window, the
+lists from the rarest term on, each shifted by the term's offset. Most windows end at the first, empty list. What the driver and a task
+hold is one block of windows and one block of the index, however large the benchmark and the corpus.
+
+With slop it also gives proximity matches: the window's words in their order, with at most slop further words between them in all. Lists
+are first intersected within that tolerance; from what is left the nearest words before and after are followed one by one.
 
 Cases: a null or empty text has no words; an item without words has no windows, an item of fewer than 10 words is one window;
-items of one item_id count as one; a null item_id is left out; repeated documents are each judged alone; empty tables give no hits or no rows;
-further columns are left out unless named in keep.
+items of one item_id count as one; a null item_id is left out; a very long text is a block of its own, whole; repeated documents are each
+judged alone; of equally frequent terms the first in the window is the rarest; empty tables give no hits or no rows; further columns are
+left out of scan() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import stored
+from rasterloom.llm.common import running, stored
 
 WINDOW = 10
 #: Words of a block; a longer text is a block of its own.
 BLOCK_WORDS = 400_000
-#: Windows sent to the tasks at a time: about 100 MB of Python objects at most.
+#: Pairs of window and item sent to the tasks at a time: about 100 MB of Python objects at most.
 BLOCK_WINDOWS = 250_000
+#: Places left after a document; slop must be less.
 GAP = 64
 _LOW = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-INDEX = "block string, ids binary, base array<long>, n_words array<int>, terms array<int>, ends array<int>, places array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,202 +46,232 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOW).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(w, item): the term hashes of each distinct window of an item, a row each."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
 
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text.as_py())], np.uint64).astype(np.int64)
+                n = max(1, len(h) - size + 1) if len(h) else 0
+                for a in range(0, n, 10_000):
+                    w = [h[i : i + size] for i in range(a, min(n, a + 10_000))]
+                    yield pa.RecordBatch.from_arrays([pa.array(w, pa.list_(pa.int64())), pa.array([item] * len(w), pa.string())], ["w", "item"])
 
-def query_blocks(benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
-    """The benchmark's windows with the items that have them, some limit windows at a time; the driver holds one block."""
-    block: dict[tuple[bytes, ...], set[str]] = {}
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id is not null").toLocalIterator():
-        for w in windows_of(words_of(r.text), size):
-            block.setdefault(w, set()).add(r.i)
-        if len(block) >= limit:
-            yield block
-            block = {}
-    if block:
-        yield block
+    some = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
+    return some.mapInArrow(run, "w array<long>, item string").distinct()
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], key: str = "doc_id", name: str = "postings") -> DataFrame:
-    """The stored index: a row a block, with the row's keys (pickled), the documents' first places and word counts, and the
-    places of the terms of vocabulary, terms ascending."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame, key: str = "doc_id", name: str = "postings") -> DataFrame:
+    """The stored index: a row a block, with its documents' keys and word counts, its terms' hashes, ascending, how many
+    places each has, and the places: the first of each term, then the steps from one to the next, as 32-bit numbers byte plane by byte plane."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
-        import pickle
         import uuid
 
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        find = sent.value.get
-        schema = pa.schema([("block", pa.string()), ("ids", pa.binary()), ("base", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+        from rasterloom.llm.lm_scoring import planed
 
-        def row(keys: list, counts: list[int], terms: list) -> pa.RecordBatch:
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64() if kind == "bigint" else pa.string())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary())])
+
+        def row(keys: list, counts: list[int], number: dict, terms: list) -> pa.RecordBatch:
             n = np.array(counts, np.int64)
-            base = np.concatenate([[0], np.cumsum(n + GAP)[:-1]]) if len(n) else n
-            place = np.concatenate([np.arange(c) + b for c, b in zip(counts, base.tolist(), strict=True)]) if len(n) else n
-            t = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-            have = t >= 0
-            t, place = t[have], place[have].astype(np.int32)
-            order = np.argsort(t, kind="stable")
-            t, place = t[order], place[order]
-            which, first = np.unique(t, return_index=True)
-            ends = np.append(first[1:], len(t)).astype(np.int32) if len(which) else first.astype(np.int32)
-            cells = (uuid.uuid4().hex, pickle.dumps(keys), base, n.astype(np.int32), which.astype(np.int32), ends, place)
+            place = np.arange(n.sum()) + GAP * np.repeat(np.arange(len(n)), n)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number)).astype(np.int64)
+            rank = np.empty(len(hashes), np.int32)
+            rank[np.argsort(hashes)] = np.arange(len(hashes), dtype=np.int32)
+            t = rank[np.concatenate(terms)]
+            place = place[np.argsort(t, kind="stable")]
+            each = np.bincount(t, minlength=len(hashes))
+            step = np.diff(place, prepend=0)
+            first = np.cumsum(each) - each
+            step[first] = place[first]
+            cells = (uuid.uuid4().int >> 65, keys, n, np.sort(hashes), each, planed(step.astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-        keys, counts, terms, total = [], [], [], 0
+        keys, counts, number, terms, total = [], [], {}, [], 0
         for b in batches:
             for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = words_of(text.as_py())
                 keys.append(k)
                 counts.append(len(w))
-                terms.append(np.fromiter((find(x, -1) for x in w), np.int32, len(w)))
+                terms.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
                 total += len(w) + GAP
                 if total >= BLOCK_WORDS:
-                    yield row(keys, counts, terms)
-                    keys, counts, terms, total = [], [], [], 0
+                    yield row(keys, counts, number, terms)
+                    keys, counts, number, terms, total = [], [], {}, [], 0
         if keys:
-            yield row(keys, counts, terms)
+            yield row(keys, counts, number, terms)
+
+    got = docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, ids array<{kind}>, n_words array<int>, terms array<long>, counts array<int>, places binary")
+    return stored(got, name)
 
-    return stored(docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX), name)
 
+def packed_windows(index: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """Stored: rows of at most about limit pairs of a window and an item, all of whose terms the index has: items, sizes, the windows' terms
+    end to end, and their offsets from the rarest term on, likewise."""
+    pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "windows")
+    terms = pairs.select("pair", F.posexplode("w").alias("at", "term"))
+    heads = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    often = heads.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    order = terms.join(often, "term").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("order"))
+    live = stored(pairs.join(order, "pair").where(F.size("order") == F.size("w")).select("w", "item", F.col("order.at").alias("order")), "live_windows")
 
-def frequencies(index: DataFrame) -> dict[int, int]:
-    """Corpus frequency of each term of the index; as many rows as the vocabulary has."""
-    spans = F.transform("ends", lambda e, i: F.struct(F.get("terms", i).alias("t"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("n")))
-    rows = index.select("terms", "ends").select(F.explode(spans).alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n"))
-    return {r.t: r.n for r in rows.toLocalIterator()}
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is not None and table.num_rows:
+            w, item, order = (table.column(c).combine_chunks() for c in ("w", "item", "order"))
+            cells = (item.to_pylist(), w.value_lengths().to_pylist(), w.flatten().to_pylist(), order.flatten().to_pylist())
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(k)) for c, k in zip(cells, kinds, strict=True)], ["items", "sizes", "terms", "order"])
 
-def search(index: DataFrame, windows: list[tuple[tuple[int, ...], tuple[str, ...]]], freq: dict[int, int], key_type: str, slop: int = 0) -> DataFrame:
-    """Per document of the index: key, block, ordinal, n_words, the spans of its hit words, its items; with slop, near_items as well."""
-    plan: dict[int, list] = {}
-    for w, items in windows:
-        order = sorted(range(len(w)), key=lambda i: (freq.get(w[i], 0), i))
-        if freq.get(w[order[0]], 0):  # else its rarest term is nowhere
-            plan.setdefault(w[order[0]], []).append((order[0], [(w[i], i) for i in order[1:]], len(w), items))
-    sent = index.sparkSession.sparkContext.broadcast(plan)
+    parts = max(1, math.ceil(live.count() / limit))
+    return stored(live.repartition(parts).mapInArrow(run, "items array<string>, sizes array<int>, terms array<long>, order array<int>"), "packed_windows")
 
-    def run(batches: Iterator) -> Iterator:
-        import pickle
 
+def search(index: DataFrame, block: tuple[list[str], list[int], list[int], list[int]], slop: int = 0) -> DataFrame:
+    """For each document of the index that has any of a block's windows: block, ordinal, the runs of its hit words (starts, stops), its
+    items, and with slop the items that have a window near (near_items, exact ones included)."""
+    sent = index.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("key", pa.int64() if key_type == "bigint" else pa.string()), ("block", pa.string()), ("ordinal", pa.int32()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+        from rasterloom.llm.lm_scoring import unplaned
+
+        names, sizes, terms, order = sent.value
+        sizes, terms, order = np.array(sizes, np.int64), np.array(terms, np.int64), np.array(order, np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        schema = pa.schema([("block", pa.int64()), ("ordinal", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+
+        def at_or_after(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """The first of places p from x on; far away if there is none."""
+            k = np.searchsorted(p, x)
+            return np.where(k < len(p), p[np.minimum(k, len(p) - 1)], 1 << 40)
+
+        def at_or_before(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(p, x, "right") - 1
+            return np.where(k >= 0, p[np.maximum(k, 0)], -(1 << 40))
+
+        def places_of(w: int, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """Starts of a window's exact places, and places of its rarest term with the others near."""
+            offsets = order[begins[w] : ends[w]].tolist()
+            r, at = offsets[0], own[offsets[0]]
+            for i in offsets[1:]:
+                d = i - r
+                low = at + d if d > 0 else at + d - slop
+                at = at[at_or_after(own[i], low) <= low + slop]
+                if not len(at):
+                    return at, at
+            if not slop:
+                return at - r, at[:0]
+            exact, first, last = np.ones(len(at), bool), at, at
+            for i in range(len(offsets)):
+                exact &= at_or_after(own[i], at + i - r) == at + i - r
+            for i in range(r + 1, len(offsets)):
+                last = at_or_after(own[i], last + 1)
+            for i in range(r - 1, -1, -1):
+                first = at_or_before(own[i], first - 1)
+            return at[exact] - r, at[last - first - (len(offsets) - 1) <= slop]
+
         for b in batches:
-            for r in range(b.num_rows):
-                cell = lambda c, r=r, b=b: b.column(b.schema.get_field_index(c))[r].values.to_numpy(zero_copy_only=False)
-                base, n, terms, ends, places = (cell(c) for c in ("base", "n_words", "terms", "ends", "places"))
-                keys = pickle.loads(b.column(b.schema.get_field_index("ids"))[r].as_py())
-                starts = np.append(0, ends[:-1]) if len(ends) else ends
-                lists = {int(t): places[s:e] for t, s, e in zip(terms, starts, ends, strict=True)}
-                hit = np.zeros(int(base[-1] + n[-1]) + 1 if len(n) else 1, np.int32)  # +1 where a hit begins, -1 where it ends
+            for row in range(b.num_rows):
+                cell = lambda c, row=row, b=b: b.column(b.schema.get_field_index(c))[row]
+                have, each, n = (cell(c).values.to_numpy(zero_copy_only=False) for c in ("terms", "counts", "n_words"))
+                base = np.cumsum(n.astype(np.int64) + GAP) - n - GAP
+                if not len(have) or not len(terms):
+                    continue
+                known = np.searchsorted(have, terms)
+                here = have[np.minimum(known, len(have) - 1)] == terms
+                whole = np.flatnonzero(np.minimum.reduceat(here, begins))
+                if not len(whole):
+                    continue
+                step = unplaned(cell("places").as_py(), np.uint32).astype(np.int64)
+                top = np.cumsum(each.astype(np.int64))
+                list_of = lambda t, top=top, each=each, step=step: np.cumsum(step[top[t] - each[t] : top[t]])
+                lists: dict[int, np.ndarray] = {}
+                hit = np.zeros(int(base[-1] + n[-1]) + 2, np.int32)  # +1 where a hit begins, -1 where it ends
                 items: dict[int, set] = {}
                 near: dict[int, set] = {}
-                for t in lists.keys() & sent.value.keys():
-                    for offset, rest, size, names in sent.value[t]:
-                        at = lists[t] - offset
-                        loose = at if slop else at[:0]
-                        for u, i in rest:
-                            p = lists.get(u)
-                            if p is None:
-                                at = loose = at[:0]
-                                break
-                            if len(at):
-                                k = np.searchsorted(p, at + i)
-                                at = at[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] == at + i)]
-                            if len(loose):
-                                k = np.searchsorted(p, loose + i - slop)
-                                loose = loose[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= loose + i + slop)]
-                            if not len(at) and not len(loose):
-                                break
-                        if len(at):
-                            np.add.at(hit, at, 1)
-                            np.add.at(hit, at + size, -1)
-                            for d in np.unique(np.searchsorted(base, at, "right") - 1).tolist():
-                                items.setdefault(d, set()).update(names)
-                        if len(loose):
-                            for d in np.unique(np.searchsorted(base, loose + offset, "right") - 1).tolist():
-                                near.setdefault(d, set()).update(names)
-                inside = np.concatenate([[0], (np.cumsum(hit) > 0).astype(np.int8), [0]])
-                edges = np.diff(inside)
+                for w in whole.tolist():
+                    own = known[begins[w] : ends[w]].tolist()
+                    for t in own:
+                        if t not in lists:
+                            lists[t] = list_of(t)
+                    exact, loose = places_of(w, [lists[t] for t in own])
+                    if len(exact):
+                        np.add.at(hit, exact, 1)
+                        np.add.at(hit, exact + int(sizes[w]), -1)
+                        for d in np.unique(np.searchsorted(base, exact, "right") - 1).tolist():
+                            items.setdefault(d, set()).add(names[w])
+                    for d in np.unique(np.searchsorted(base, loose, "right") - 1).tolist():
+                        near.setdefault(d, set()).add(names[w])
+                found = sorted(items.keys() | near.keys())
+                if not found:
+                    continue
+                edges = np.diff(np.concatenate([[0], (np.cumsum(hit) > 0).astype(np.int8), [0]]))
                 on, off = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
-                of = np.searchsorted(base, on, "right") - 1
-                first = np.searchsorted(of, np.arange(len(n) + 1))
-                local = lambda x, d: (x[first[d] : first[d + 1]] - base[d]).tolist()
-                block = b.column(b.schema.get_field_index("block"))[r].as_py()
-                cells = (keys, [block] * len(n), range(len(n)), n, [local(on, d) for d in range(len(n))], [local(off, d) for d in range(len(n))], [sorted(items.get(d, ())) for d in range(len(n))], [sorted(near.get(d, ())) for d in range(len(n))])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+                first = np.searchsorted(np.searchsorted(base, on, "right") - 1, np.arange(len(n) + 1))
+                local = lambda x, d, first=first, base=base: x[first[d] : first[d + 1]] - base[d]
+                cells = ([cell("block").as_py()] * len(found), found, [local(on, d) for d in found], [local(off, d) for d in found], [sorted(items.get(d, ())) for d in found], [sorted(near.get(d, ())) for d in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-    out = f"key {key_type}, block string, ordinal int, n_words long, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
-    return index.select("block", "ids", "base", "n_words", "terms", "ends", "places").mapInArrow(run, out)
+    out = "block long, ordinal int, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
+    return index.select("block", "n_words", "terms", "counts", "places").mapInArrow(run, out)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, slop: int = 0, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: key, n_words, n_hit, starts and stops of its runs of hit words, items and near_items (sorted as strings).
 
-    key is a column of integers or strings; it need not be unique. One block of windows is searched in one pass; further
-    blocks are passes over the same documents' index whose findings are joined by block and ordinal."""
+    key is a column of integers or strings; it need not be unique. slop is less than GAP."""
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
     kind = "bigint" if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
-    docs = docs.select(F.col(key).cast(kind).alias(key), "text")
-    blocks = query_blocks(benchmark, size, limit)
-    first = next(blocks, None)
-    second = next(blocks, None)
-    if second is None:
-        return _hits(_one(docs, first or {}, key, kind, slop), key)
-    vocabulary: dict[bytes, int] = {}
-    for b in query_blocks(benchmark, size, limit):
-        for w in b:
-            for x in w:
-                vocabulary.setdefault(x, len(vocabulary))
-    index = build_index(docs, vocabulary, key)
-    freq, found = frequencies(index), None
-    for b in query_blocks(benchmark, size, limit):
-        part = stored(search(index, [(tuple(vocabulary[x] for x in w), tuple(i)) for w, i in b.items()], freq, kind, slop), "hits")
+    index = build_index(docs.select(F.col(key).cast(kind).alias(key), "text"), key)
+    return found_in(index, packed_windows(index, windows(benchmark, size), limit), slop).withColumnRenamed("key", key)
+
+
+def found_in(index: DataFrame, packed: DataFrame, slop: int = 0) -> DataFrame:
+    """scan()'s columns, for an index and its packed windows; the driver holds one block of windows at a time."""
+    rows = index.select("block", F.posexplode(F.arrays_zip("ids", "n_words")).alias("ordinal", "x")).select("block", "ordinal", F.col("x.ids").alias("key"), F.col("x.n_words").cast("long").alias("n_words"))
+    none = "cast(array() as array<{}>)"
+    found = None
+    for r in packed.toLocalIterator():
+        part = stored(search(index, (r["items"], r["sizes"], r["terms"], r["order"]), slop), "hits")
         found = part if found is None else found.unionByName(part)
-    both = found.groupBy("block", "ordinal").agg(
-        F.first("key").alias("key"),
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-    )
-    # runs of several blocks may overlap: merged from the left
-    empty = F.struct(F.lit(-1).alias("e"), F.expr("cast(array() as array<struct<starts:int,stops:int>>)").alias("a"))
-    step = lambda acc, x: F.when(
-        x["starts"] > acc["e"], F.struct(x["stops"].alias("e"), F.concat(acc["a"], F.array(x)).alias("a"))
-    ).otherwise(
-        F.struct(
-            F.greatest(acc["e"], x["stops"]).alias("e"),
-            F.concat(F.slice(acc["a"], F.lit(1), F.size(acc["a"]) - 1), F.array(F.struct(F.get(acc["a"], F.size(acc["a"]) - 1)["starts"].alias("starts"), F.greatest(acc["e"], x["stops"]).alias("stops")))).alias("a"),
-        )
-    )
-    both = both.withColumn("runs", F.aggregate(F.array_sort("runs"), empty, step, lambda acc: acc["a"]))
-    return _hits(both.select("key", "n_words", F.col("runs.starts").alias("starts"), F.col("runs.stops").alias("stops"), "items", "near_items"), key)
-
-
-def _one(docs: DataFrame, block: dict, key: str, kind: str, slop: int) -> DataFrame:
-    vocabulary: dict[bytes, int] = {}
-    windows = [(tuple(vocabulary.setdefault(x, len(vocabulary)) for x in w), tuple(sorted(i))) for w, i in block.items()]
-    index = build_index(docs, vocabulary, key)
-    return search(index, windows, frequencies(index), kind, slop)
-
-
-def _hits(found: DataFrame, key: str) -> DataFrame:
+    if found is None:
+        return rows.select("key", "n_words", F.lit(0).cast("long").alias("n_hit"), *[F.expr(none.format("int")).alias(c) for c in ("starts", "stops")], *[F.expr(none.format("string")).alias(c) for c in ("items", "near_items")])
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    both = found.groupBy("block", "ordinal").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "stops")))).alias("runs"), together("items"), together("near_items"))
+    # runs of several blocks may overlap: one begins where a start lies beyond all earlier stops
+    both = both.withColumn("tops", running(F.col("runs.stops"), F.lit(-1), F.greatest))
+    new = F.filter(F.transform("runs", lambda x, i: F.struct(x["starts"].alias("s"), F.when(i > 0, F.get("tops", i - 1)).otherwise(-1).alias("t"))), lambda x: x["s"] > x["t"])
+    both = both.withColumn("new", new).select("block", "ordinal", "items", "near_items", F.col("new.s").alias("starts"), F.filter(F.concat(F.slice("new.t", 2, F.size("new")), F.array(F.array_max("tops"))), lambda x: x.isNotNull()).alias("stops"))
+    out = rows.join(both, ["block", "ordinal"], "left")
+    filled = [F.coalesce(c, F.expr(none.format(t))).alias(c) for c, t in (("starts", "int"), ("stops", "int"), ("items", "string"), ("near_items", "string"))]
     n_hit = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "starts", "stops", "items", "near_items")
+    return out.select("key", "n_words", *filled).select("key", "n_words", n_hit.alias("n_hit"), "starts", "stops", "items", "near_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, all columns kept: texts with hits are told by their content, so that ids need not be unique."""
-    marks = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))]
-    keyed = docs.withColumn("_key", F.concat_ws(":", *[m.cast("string") for m in marks]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat_ws(":", *[m.cast("string") for m in (F.xxhash64(text), F.xxhash64(F.lit(1), text))])
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), key.alias("_key"), text.alias("text"))
     bad = stored(scan(keyed.select("_key", "text"), benchmark, "_key").where("n_hit > 0").select("_key").distinct(), "contaminated")
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(bad, "_key", "left_anti").select("_doc.*")
 
 
 def digest(items: list[str]) -> str:

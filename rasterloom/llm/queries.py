@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from rasterloom.llm import decontamination, license_scan, lm_scoring, mixing, pu
 from rasterloom.llm.common import remainder, stored, table
 
 
+#: Further words that op4's proximity matches may have between a window's words.
+SLOP = 2
+
+
 def _classified(scores: DataFrame, mod: int, held: int) -> DataFrame:
     return scores.select("doc_id", (remainder(F.col("doc_id"), mod) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -32,7 +37,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -40,6 +45,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -179,6 +185,8 @@ SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0)
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 
 
+#: For windows of each size the places, counted from their first word, at which the words of a proximity match can stand.
+_SPREADS = ", ".join(f"({n}, [{', '.join(map(str, (1, *c)))}])" for n in range(1, decontamination.WINDOW + 1) for c in combinations(range(2, n + SLOP + 1), n - 1))
 SQL: dict[str, str] = {
     "op9_secret_scan": _secret_sql(),
     "op6_mixing": _mixing_sql(),
@@ -194,8 +202,12 @@ dg AS (SELECT rid, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ')
        FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)),
 occ AS (SELECT DISTINCT dg.rid, dg.i, dg.size, win.item FROM dg JOIN win ON dg.g = win.g AND dg.size = win.size),
 hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM occ)) GROUP BY rid),
+nw AS (SELECT DISTINCT item, w, len(w) AS size FROM (SELECT item, list_slice(w, i, i + least(len(w), 10) - 1) AS w FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0))),
+seg AS (SELECT rid, list_slice(w, i, i + {decontamination.WINDOW + SLOP - 1}) AS seg FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM dw)),
+near AS (SELECT rid, count(DISTINCT item) AS n_near FROM (SELECT rid, item, seg, nw.w, nw.size FROM seg JOIN nw ON seg.seg[1] = nw.w[1] AND (nw.size = 1 OR list_contains(list_slice(seg, 2, {2 + SLOP}), nw.w[2]))
+         AND list_contains(list_slice(seg, nw.size, nw.size + {SLOP}), nw.w[nw.size])) c JOIN (VALUES {_SPREADS}) x(size, spread) ON c.size = x.size AND len(seg) >= spread[c.size] AND list_select(seg, spread) = c.w GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)""",
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM dw LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)""",
 }
