@@ -20,14 +20,34 @@ def test_held_out_accuracy(spark, sf_dir):
 
 def brute(text):
     """cells by plain integers"""
-    raw = b" " + (text or "").encode().translate(t._LOWER) + b" "
-    out = set()
+    raw, out = " " + (text or "").encode().translate(t._LOWER).decode() + " ", set()
     for n in t.ORDERS if len(raw) > 2 else ():
         for i in range(len(raw) - n + 1):
-            out.add((int.from_bytes(raw[i : i + n], "little") * int(t._MIX[n]) % 2**64) >> (64 - t.BITS))
+            h = 0
+            for c in raw[i : i + n]:
+                h = (h * int(t._NEXT) + ord(c)) % 2**64
+            out.add((h * int(t._MIX[n]) % 2**64) >> (64 - t.BITS))
     return out
 
 
+def test_scores_by_plain_python(spark, odd, prose):
+    texts = prose(80, least=30)
+    docs = odd.union(spark.createDataFrame([(100 + i, x + " awfulword" * (i % 4 == 0), "en", "s", 1) for i, x in enumerate(texts)], odd.schema))
+    model = t.learn(docs, spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    want = []
+    for r in docs.collect():
+        z = model.bias + sum(model.weights[model.chosen[c]] for c in brute(r.text) if model.chosen[c] >= 0)
+        want.append((str(r.doc_id), round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)))
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in t.score(docs, model).collect()) == sorted(want)
+
+
+def test_copies_of_an_id_do_not_add_rows(spark, odd):
+    docs = spark.createDataFrame([(1, "a text with words"), (1, "another text with words"), (2, "one more text")], "doc_id long, text string")
+    many = docs.crossJoin(spark.range(500)).select("doc_id", "text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert {tuple(r) for r in t.score(docs, t.learn(many, labels)).collect()} == {tuple(r) for r in t.score(docs, t.learn(docs, labels)).collect()}
+
+
 def test_cells_of_whole_texts_in_slices(monkeypatch, prose):
     texts = [None, "", "a", "ab", "abc", "Ünï çode 漢字", *prose(5)]
     want = [brute(x) for x in texts]
