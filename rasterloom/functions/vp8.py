@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from rasterloom.functions.formulas import AC_STEPS, DC_STEPS
-from rasterloom.sources.webp import broken, lossy_size, short
+from rasterloom.sources.webp import broken, image_size, short
 
 
 class BoolReader:
@@ -130,7 +130,7 @@ class Header:
 
 def read_header(payload: bytes) -> Header:
     """The frame header of a VP8 payload, as far as the quantizers."""
-    h = Header(*lossy_size(payload, len(payload)))
+    h = Header(*image_size(b"VP8 ", payload)[:2])
     tag = int.from_bytes(payload[:3], "little")
     h.profile, h.partition_size = tag >> 1 & 7, tag >> 5
     if len(payload) < 10 + h.partition_size:

@@ -316,9 +316,9 @@ def _decode(r: Reader, width: int, height: int) -> np.ndarray:
 
 def decode(payload: bytes) -> np.ndarray:
     """(h, w) packed ARGB of a VP8L payload."""
-    from rasterloom.sources.webp import lossless_size
+    from rasterloom.sources.webp import image_size
 
-    width, height, has_alpha = lossless_size(payload)
+    width, height, has_alpha = image_size(b"VP8L", payload)
     try:
         out = _decode(Reader(payload[5:]), width, height)
     except IndexError as e:

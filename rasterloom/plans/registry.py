@@ -502,18 +502,16 @@ def probability_updates(spark, sf_dir):
 
 
 def _presets_sql() -> str:
-    rows = [("none", "", [0])] + [("two", str(p), d) for p, d in ((55, [10, 0]), (65, [12, -2]), (45, [8, 0]))] + [("many", p, d) for p, d in (("35,72", [12, 4, -4]), ("25,50,78", [16, 8, 1, -7]), ("30,58,84", [18, 10, 2, -8]))]
-    values = ", ".join(f"({i}, '{k}', '{p}', {d})" for i, (k, p, d) in enumerate(rows))
-    return f"""WITH b AS (SELECT DISTINCT (1 + o_orderkey % 2500) AS mb_count, o_orderkey % 10 AS effort, (o_custkey * 3) % 128 AS q FROM orders), p AS (SELECT * FROM (VALUES {values}) x(i, kind, percents, deltas)),
-j AS (SELECT b.*, i, kind, percents, deltas, mb_count < 8 OR effort = 0 OR (effort < 9 AND mb_count >= 1024) AS bare FROM b, p),
-t AS (SELECT * FROM j WHERE i = 0 OR (NOT bare AND ((i IN (1, 2, 3) AND CASE WHEN effort <= 2 THEN i = 2 WHEN mb_count >= 2048 AND effort < 9 THEN i IN (1, 2) ELSE true END) OR (i >= 4 AND effort >= 4 AND (effort >= 9 OR mb_count < 2048)))))
-SELECT mb_count, effort, q, row_number() OVER (PARTITION BY mb_count, effort, q ORDER BY i) - 1 AS ord, kind, percents, array_to_string([greatest(0, least(127, q + d)) for d in deltas], ',') AS quantizers FROM t"""
+    values = ", ".join(f"({i}, {effort}, {mb}, '{','.join(map(str, percents))}', {deltas})" for i, (effort, mb, percents, deltas) in enumerate(encoder.even_presets()))
+    return f"""WITH b AS (SELECT DISTINCT (1 + o_orderkey % 2500) AS mb_count, o_orderkey % 10 AS effort, (o_custkey * 3) % 128 AS q FROM orders)
+SELECT mb_count, effort, q, CAST(i AS BIGINT) AS ord, percents, array_to_string([greatest(0, least(127, q + d)) for d in deltas], ',') AS quantizers
+FROM b JOIN (VALUES {values}) x(i, from_effort, from_mb, percents, deltas) ON effort >= from_effort AND mb_count >= from_mb"""
 
 
 @query(_presets_sql())
 def segment_presets(spark, sf_dir):
     bases = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("1 + o_orderkey % 2500 as mb_count", "o_orderkey % 10 as effort", "(o_custkey * 3) % 128 as q").distinct()
-    return encoder.segment_presets(bases).withColumn("ord", F.col("ord").cast("long"))
+    return encoder.segment_presets(bases)
 
 
 @query(f"""WITH {_REC}, q AS (SELECT img, sse, sse % 977 + 40 AS bytes, CAST({_AC}[img % 128 + 1] AS BIGINT) AS y1_ac FROM er), c AS (SELECT *, sse * 128 + bytes * 8 * greatest(3 * greatest(y1_ac, 8) * greatest(y1_ac, 8), 128) AS cost FROM q)
