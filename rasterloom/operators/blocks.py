@@ -81,3 +81,25 @@ def psnr(errors: DataFrame) -> DataFrame:
     """Adds the two conventions' PSNR: infinite for identical planes as null, and 99; and the mean absolute difference."""
     db = F.expr("round(10 * log10(65025 / (sse / n)), 6)")
     return errors.withColumns({"psnr": F.when(F.col("sse") > 0, db), "psnr_99": F.when(F.col("sse") > 0, db).otherwise(99.0), "mean_abs": F.round(F.col("sad") / F.col("n"), 6)})
+
+
+def satd_grid(blocks: DataFrame) -> DataFrame:
+    """Per image the sum of its blocks' weighted Hadamard errors."""
+    return satd(blocks).groupBy("img").agg(F.sum("satd").alias("satd"), F.count(F.lit(1)).alias("blocks"))
+
+
+def frame_error(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per image of two tables of samples (img, plane, x, y, v): squared error over all planes, samples, and those only one of them has."""
+    both = a.select("img", "plane", "x", "y", "v").join(b.select("img", "plane", "x", "y", F.col("v").alias("w")), ["img", "plane", "x", "y"], "full")
+    d = F.col("v") - F.col("w")
+    return both.groupBy("img").agg(F.coalesce(F.sum(d * d), F.lit(0)).alias("sse"), F.count(d).alias("n"), F.sum((F.col("v").isNull() | F.col("w").isNull()).cast("long")).alias("unmatched"))
+
+
+def quality(errors: DataFrame) -> DataFrame:
+    """frame_error()'s rows by three conventions: psnr is null without an error or where samples are missing, psnr_99 is 99 and -1 there, told
+    is "-", null, or the value in two places."""
+    db, whole = F.expr("10 * log10(65025 / (sse / n))"), F.col("unmatched") == 0
+    differ = whole & (F.col("sse") > 0)
+    return errors.withColumns({
+        "psnr": F.when(differ, F.round(db, 6)), "psnr_99": F.when(~whole, -1.0).when(differ, F.round(db, 6)).otherwise(99.0), "told": F.when(differ, F.format_string("%.2f", F.round(db, 6))).when(whole, "-"),
+    })

@@ -80,3 +80,60 @@ def read_alph(payload: Column) -> list[Column]:
     b = byte(payload, 0)
     part = lambda s: F.shiftright(b, s).bitwiseAND(F.lit(3))
     return [part(0).alias("compression"), part(2).alias("filter"), part(4).alias("preprocessing"), ((part(0) <= 1) & (part(4) <= 2) & (F.shiftright(b, 6) == 0)).alias("valid")]
+
+
+#: The greatest payload of a chunk that a container can hold.
+MOST = 2**32 - 10
+
+
+def riff_header(size: Column, form: Column) -> Column:
+    return F.concat(tag("RIFF"), le(size, 4), form)
+
+
+def with_first_chunk(files: DataFrame, content: str = "content", length: str = "length") -> DataFrame:
+    """Adds what the RIFF header and the first chunk's header tell: is_riff (bare chunks have none), riff_end, chunk (its name), chunk_size,
+    chunk_end with padding, and problem: the first rule that the headers break, null if none. missing: what the headers promise isn't all there."""
+    c, n = F.col(content), F.col(length)
+    riff = F.substring(c, 1, 4) == tag("RIFF")
+    at = F.when(riff, 12).otherwise(0)
+    rows = files.withColumns({"is_riff": riff, "riff_end": F.when(riff, read_le(c, 4, 4) + 8), "_form": F.substring(c, 9, 4) == tag("WEBP"), "_at": at})
+    rows = rows.withColumns({"chunk": F.when(n >= at + 8, F.when(riff, F.substring(c, 13, 4)).otherwise(F.substring(c, 1, 4)).cast("string")), "chunk_size": F.when(n >= at + 8, F.when(riff, read_le(c, 16, 4)).otherwise(read_le(c, 4, 4)))})
+    rows = rows.withColumn("chunk_end", F.expr("_at + 8 + chunk_size + chunk_size % 2"))
+    problem = (
+        F.when(n < 12, "no header").when(riff & ~F.col("_form"), "another form").when(riff & ~(F.col("riff_end") - 8).between(12, MOST), "size out of bounds")
+        .when(n < F.col("_at") + 8, "no chunk").when(F.col("chunk_size") > MOST, "chunk too large").when(F.col("chunk_end") > F.col("riff_end"), "chunk beyond its container")
+    )
+    return rows.withColumns({"problem": problem, "missing": F.coalesce(F.greatest("riff_end", "chunk_end") > n, F.lit(True))}).drop("_form", "_at")
+
+
+def lossy_header(width: Column, height: Column, bits: Column) -> Column:
+    """A VP8 frame header; bits: key frame (0), profile, shown, size of the first partition."""
+    return F.concat(le(bits, 3), F.lit(bytearray(b"\x9d\x01\x2a")), le(width, 2), le(height, 2))
+
+
+def read_lossy(payload: Column, size: Column) -> list[Column]:
+    """Width, height and whether a decoder takes the frame: a shown key frame of a known profile, with pixels, its first partition smaller than
+    the chunk."""
+    bits = read_le(payload, 0, 3)
+    part = lambda at, mask: F.shiftright(bits, at).bitwiseAND(F.lit(mask))
+    low14 = lambda at: read_le(payload, at, 2).bitwiseAND(F.lit(0x3FFF))
+    good = (part(0, 1) == 0) & (part(1, 7) <= 3) & (part(4, 1) == 1) & (F.shiftright(bits, 5) < size) & (low14(6) > 0) & (low14(8) > 0) & (F.substring(payload, 4, 3) == F.lit(bytearray(b"\x9d\x01\x2a")))
+    return [low14(6).alias("width"), low14(8).alias("height"), good.alias("valid")]
+
+
+def anmf_payload(x: Column, y: Column, width: Column, height: Column, duration: Column, flags: Column) -> Column:
+    return F.concat(le(x, 3), le(y, 3), le(width - 1, 3), le(height - 1, 3), le(duration, 3), le(flags, 1))
+
+
+def read_anmf(payload: Column, canvas_width: Column, canvas_height: Column) -> list[Column]:
+    """A frame's place, size, duration, whether it is blended and disposed of, and whether it is valid: inside its canvas, reserved bits zero."""
+    x, y, w, h = 2 * read_le(payload, 0, 3), 2 * read_le(payload, 3, 3), read_le(payload, 6, 3) + 1, read_le(payload, 9, 3) + 1
+    flags = byte(payload, 15)
+    bit = lambda k: F.shiftright(flags, k).bitwiseAND(F.lit(1)) == 1
+    valid = (x + w <= canvas_width) & (y + h <= canvas_height) & (flags < 4)
+    return [x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"), read_le(payload, 12, 3).alias("duration"), (~bit(1)).alias("blend"), bit(0).alias("dispose"), valid.alias("valid")]
+
+
+def colour_model(form: Column, has_alpha: Column, has_animation: Column) -> Column:
+    """What a decoder gives of a file: planes of lossy stills, with alpha if there is any, else straight RGBA."""
+    return F.when(has_animation | (form != "lossy"), "nrgba").when(has_alpha, "nycbcra").otherwise("ycbcr")

@@ -136,3 +136,62 @@ def parsed(lines: DataFrame) -> DataFrame:
         F.when(F.col("sweep"), number("get(p, 9)", "double")).when(F.col("decode"), number("get(p, size - 1)", "double")).when(F.col("size") == 9, number("get(p, 8)", "double")).alias("ms"),
         F.when(~F.col("sweep") & ~F.col("decode") & (F.col("size") == 8), number("get(p, 7)", "double")).alias("mib_per_mp"),
     ).where("coalesce(bytes, ms, mib_per_mp) is not null")
+
+
+def aligned(rows: DataFrame, columns: tuple[str, ...], order: tuple[str, ...] = ("engine", "mode", "file", "effort")) -> DataFrame:
+    """(n, line): the rows as lines of comma-separated columns, and each one's number in the order given, from 1 on.
+
+    A range partitioning sorts the rows; each partition's numbers go on from the rows before it, so that no task holds them all."""
+    held = rows.select(*columns, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    by = [f"_o{i}" for i in range(len(order))] + list(columns)
+    parted = held.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = parted.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return parted.join(F.broadcast(before), part == F.col("_p")).select((F.col("before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"), line.alias("line"))
+
+
+def csv_sink(rows: DataFrame, path: str, columns: tuple[str, ...], order: tuple[str, ...] = ("engine", "mode", "file", "effort")) -> None:
+    """Writes columns of rows as comma-separated files, in order over the files taken by name."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns).write.mode("error").csv(path, header=True)
+
+
+def files(rows: DataFrame) -> DataFrame:
+    """The distinct files of each machine, and their numbers by name."""
+    own = rows.select("machine", "file").distinct()
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("machine").orderBy("file")).cast("long"))
+
+
+def cases(images: DataFrame, knobs: list[tuple[str, str, int, int]], engines: tuple[str, ...] = ()) -> DataFrame:
+    """(file, engine, mode, effort): every effort of each (engine, mode, least, most) for each image; engines, if any, are the ones wanted.
+
+    The knobs are a short list, so they are exploded in each image's row."""
+    kept = [k for k in knobs if not engines or k[0] in engines]
+    rows = [F.struct(F.lit(e).alias("engine"), F.lit(m).alias("mode"), F.lit(x).cast("long").alias("effort")) for e, m, low, high in kept for x in range(low, high + 1)]
+    return images.select("file", F.explode(F.array(*rows)).alias("c")).select("file", "c.*") if rows else images.selectExpr("file", "'' as engine", "'' as mode", "0L as effort").limit(0)
+
+
+def ticks(extents: DataFrame, keys: tuple[str, ...], steps: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
+    """The marks of a log axis from low to high: steps times the powers of ten."""
+    powers = F.sequence(F.floor(F.log10("low")).cast("int"), F.ceil(F.log10("high")).cast("int"))
+    marks = F.flatten(F.transform(powers, lambda e: F.array(*[F.round(F.pow(F.lit(10.0), e) * s, 9) for s in steps])))
+    return extents.select(*keys, "low", "high", F.explode(marks).alias("tick")).where("tick >= low - 1e-9 and tick <= high + 1e-9").select(*keys, "tick")
+
+
+def mib_per_megapixel(peak_kib: Column, base_kib: Column, width: Column, height: Column) -> Column:
+    """Memory beyond what an idle process takes, by the image's size; none below zero."""
+    return F.round(F.greatest(F.lit(0.0), (peak_kib - base_kib) / 1024.0) / (width * height / 1e6), ROUND)
+
+
+def timed(of, seconds: float = 1.0, least: int = 3) -> tuple[int, float]:
+    """(runs, least milliseconds of a run) of calling of() until seconds are over, least times at least, after one call that doesn't count."""
+    import time
+
+    of()
+    runs, best, began = 0, float("inf"), time.perf_counter()
+    while runs < least or time.perf_counter() - began < seconds:
+        at = time.perf_counter()
+        of()
+        runs, best = runs + 1, min(best, 1000 * (time.perf_counter() - at))
+    return runs, best

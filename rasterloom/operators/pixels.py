@@ -5,7 +5,7 @@ Aggregates group by the image first, so that Spark combines pixels before the sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import formulas as f
@@ -176,21 +176,46 @@ def upsampled(samples: DataFrame, plane: str) -> DataFrame:
     """A chroma plane at full size: (img, x, y, v), each place from its own sample, the next one across, the next one down or up and the
     one between these, in about the ratio 9 : 3 : 3 : 1, rounded in two steps; beyond an edge the nearest sample stands in.
 
-    A narrow equi-join: each full-size place looks up the four samples around it by their coordinates."""
-    c = samples.where(F.col("plane") == plane).select("img", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("v").alias("s"))
-    size = c.groupBy("img").agg(F.max("cx").alias("mx"), F.max("cy").alias("my"))
-    y = samples.where(F.col("plane") == "y").select("img", "x", "y").join(size, "img")
-    own = {p: F.shiftright(p, 1) for p in ("x", "y")}
-    side = {p: F.expr(f"greatest(0, least(m{p}, shiftright({p}, 1) + CASE WHEN {p} % 2 = 1 THEN 1 ELSE -1 END))") for p in ("x", "y")}
-    taps = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), a.alias("cx"), b.alias("cy")) for role, a, b in (("n", own["x"], own["y"]), ("h", side["x"], own["y"]), ("v", own["x"], side["y"]), ("d", side["x"], side["y"]))]))
-    at = y.select("img", "x", "y", taps.alias("t")).select("img", "x", "y", "t.*").join(c, ["img", "cx", "cy"])
-    four = at.groupBy("img", "x", "y").agg(*[F.max(F.when(F.col("role") == r, F.col("s"))).alias(r) for r in "nhvd"])
-    return four.select("img", "x", "y", F.expr("((((n + d + 8 + 3 * (h + v)) >> 3) + n) >> 1)").alias("v"))
+    Each sample gets its neighbours by a lag and a lead along its row, then along its column, and gives its four places itself."""
+    c = samples.where(F.col("plane") == plane).select("img", "x", "y", "v")
+    size = samples.where(F.col("plane") == "y").groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    row, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
+    c = c.withColumns({"l": F.coalesce(F.lag("v").over(row), "v"), "r": F.coalesce(F.lead("v").over(row), "v")})
+    line = F.struct(F.col("l").alias("l"), F.col("v").alias("v"), F.col("r").alias("r"))
+    c = c.withColumns({"up": F.coalesce(F.lag(line).over(column), line), "down": F.coalesce(F.lead(line).over(column), line)})
+    tap = lambda dx, dy: F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *[F.col(n).alias(k) for n, k in (("v", "n"), ("r" if dx else "l", "h"), (f"{'down' if dy else 'up'}.v", "w"), (f"{'down' if dy else 'up'}.{'r' if dx else 'l'}", "d"))])
+    places = c.select("img", "x", "y", F.explode(F.array(*[tap(dx, dy) for dy in (0, 1) for dx in (0, 1)])).alias("t"))
+    places = places.select("img", F.expr("2 * x + t.dx").alias("x"), F.expr("2 * y + t.dy").alias("y"), F.expr("((((t.n + t.d + 8 + 3 * (t.h + t.w)) >> 3) + t.n) >> 1)").alias("v"))
+    return places.join(size, "img").where("x <= mx and y <= my").select("img", "x", "y", "v")
 
 
 def with_alpha(pixels: DataFrame, plane: DataFrame) -> DataFrame:
-    """Pixels whose alpha is a plane's sample (img, x, y, s)."""
-    return pixels.drop("a").join(plane.select("img", "x", "y", F.col("s").alias("a")), ["img", "x", "y"])
+    """Pixels whose alpha is a plane's sample (img, x, y, s). A place that only one of them has is an error."""
+    both = pixels.drop("a").withColumn("_own", F.lit(True)).join(plane.select("img", "x", "y", F.col("s").alias("a")), ["img", "x", "y"], "full")
+    whole = F.col("_own") & F.col("a").isNotNull()
+    return both.withColumn("a", F.when(F.coalesce(whole, F.lit(False)), F.col("a")).otherwise(F.raise_error(F.lit("the alpha plane and the image differ in size")).cast("long"))).drop("_own")
+
+
+def converted(samples: DataFrame, source: str, target: str) -> DataFrame:
+    """Samples (img, plane, x, y, v) taken from one range to another, limited or full; as they are if the two are one, and alpha always."""
+    if source == target:
+        return samples
+    luma, chroma = {"limited": f.LUMA_LIMITED, "full": f.LUMA_FULL}, {"limited": f.CHROMA_LIMITED, "full": f.CHROMA_FULL}
+    maps = {p: F.expr(f.range_map("v", t[source], t[target])).cast("long") for p, t in (("y", luma), ("u", chroma), ("v", chroma))}
+    return samples.withColumn("v", F.when(F.col("plane") == "y", maps["y"]).when(F.col("plane").isin("u", "v"), maps["u"]).otherwise(F.col("v")))
+
+
+def padded(samples: DataFrame, width: int, height: int) -> DataFrame:
+    """Planes (img, x, y, s) at width times height, the last column and row repeated: a sample at an edge gives its own copies."""
+    size = samples.groupBy("img").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    reach = lambda c, m, to: F.explode(F.when(F.col(c) == F.col(m), F.sequence(F.col(c), F.lit(to - 1).cast("long"))).otherwise(F.array(c)))
+    wide = samples.join(size, "img").select("img", reach("x", "mx", width).alias("x"), "y", "my", "s")
+    return wide.select("img", "x", reach("y", "my", height).alias("y"), "s")
+
+
+def planar() -> Column:
+    """Whether planes (ratio, min_x, min_y, opaque) can be encoded as they are: 4:2:0, chroma in step with luma, nothing transparent."""
+    return (F.col("ratio") == "420") & (F.col("min_x") % 2 == 0) & (F.col("min_y") % 2 == 0) & F.col("opaque")
 
 
 def straight(pixels: DataFrame) -> DataFrame:

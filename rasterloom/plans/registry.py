@@ -118,10 +118,10 @@ def yuv_to_rgb(spark, sf_dir):
 
 @query(f"""WITH s AS (SELECT * FROM {_YUV}), c AS (SELECT img, x, y, v FROM s WHERE plane = 'u'),
 p AS (SELECT img, x, y, x >> 1 AS ox, y >> 1 AS oy, greatest(0, least(7, (x >> 1) + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS sx, greatest(0, least(7, (y >> 1) + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)) AS sy FROM s WHERE plane = 'y')
-SELECT p.img, p.x, p.y, ((((n.v + d.v + 8 + 3 * (h.v + w.v)) >> 3) + n.v) >> 1) AS v FROM p JOIN c n ON n.img = p.img AND n.x = ox AND n.y = oy JOIN c h ON h.img = p.img AND h.x = sx AND h.y = oy
-JOIN c w ON w.img = p.img AND w.x = ox AND w.y = sy JOIN c d ON d.img = p.img AND d.x = sx AND d.y = sy""")
+SELECT img, count(*) AS n, CAST(sum(v * (x + 17 * y + 1)) AS BIGINT) AS mark FROM (SELECT p.img, p.x, p.y, ((((n.v + d.v + 8 + 3 * (h.v + w.v)) >> 3) + n.v) >> 1) AS v FROM p JOIN c n ON n.img = p.img AND n.x = ox AND n.y = oy JOIN c h ON h.img = p.img AND h.x = sx AND h.y = oy
+JOIN c w ON w.img = p.img AND w.x = ox AND w.y = sy JOIN c d ON d.img = p.img AND d.x = sx AND d.y = sy) GROUP BY img""")
 def chroma_upsampling(spark, sf_dir):
-    return pixels.upsampled(pixels.yuv420(rasters.tiles(spark, sf_dir)), "u")
+    return pixels.upsampled(pixels.yuv420(rasters.tiles(spark, sf_dir)), "u").groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(v * (x + 17 * y + 1))").alias("mark"))
 
 
 def _ranges(d):
@@ -383,9 +383,10 @@ def loop_filter_simple(spark, sf_dir):
     return prediction.smoothed_edges(rasters.vecs(spark, sf_dir), 60)
 
 
-@query(f"SELECT p.img, p.x, p.y, p.r, p.g, p.b, q.s AS a FROM {R4} p JOIN {V} q ON q.img = p.img AND q.x = p.x AND q.y = p.y")
+@query(f"SELECT p.img, p.x, p.y, p.r, p.g, p.b, 255 - q.r AS a FROM {R4} p JOIN {R4} q ON q.img = p.img AND q.x = p.y AND q.y = p.x")
 def alpha_apply(spark, sf_dir):
-    return pixels.with_alpha(rasters.rgba4(spark, sf_dir), rasters.vecs(spark, sf_dir))
+    own = rasters.rgba4(spark, sf_dir)
+    return pixels.with_alpha(own, own.select("img", F.col("y").alias("x"), F.col("x").alias("y"), (255 - F.col("r")).alias("s")))
 
 
 @query(f"SELECT img, x, y, {', '.join(f'CASE WHEN a = 0 THEN 0 ELSE least(255, (255 * {c}) // a) END AS {c}' for c in 'rgb')}, a FROM {R4}")
@@ -665,3 +666,6 @@ def short_names(spark, sf_dir):
 def formatted_times(spark, sf_dir):
     rows = rasters.measurements(spark, sf_dir).withColumn("ms", F.floor("ms") + 0.25)
     return rows.select("machine", "engine", "mode", "file", "effort", F.round(F.col("ms") / 1048.576, 6).alias("mib_per_mp"), measurement.duration(F.col("ms")).alias("took"))
+
+
+from rasterloom.plans import coding  # noqa: E402, F401  adds its queries
