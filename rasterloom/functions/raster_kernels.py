@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from rasterloom.functions import vp8l
+from rasterloom.functions import vp8_frames, vp8l
 from rasterloom.sources import webp
 
 
@@ -51,10 +51,13 @@ def alpha_plane(payload: bytes, width: int, height: int) -> np.ndarray:
     return unfilter(plane, kind)
 
 
-def _pixels(kind: bytes, payload: bytes, alpha: bytes | None, width: int, height: int) -> np.ndarray:
-    if kind != b"VP8L":
-        raise webp.WebpError("unsupported", "lossy bitstreams are not decoded")
-    out = argb_to_rgba(vp8l.decode(payload))
+def _pixels(kind: bytes, payload: bytes, alpha: bytes | None, width: int, height: int, tables: vp8_frames.Tables | None = None) -> np.ndarray:
+    if kind == b"VP8L":
+        out = argb_to_rgba(vp8l.decode(payload))
+    elif tables is None:
+        raise webp.WebpError("unsupported", "lossy frames need the format's probability tables")
+    else:
+        out = vp8_frames.rgba_of(vp8_frames.decode_planes(payload, tables))
     if out.shape[:2] != (height, width):
         raise webp.broken("image size does not match its frame")
     if alpha is not None:
@@ -62,10 +65,18 @@ def _pixels(kind: bytes, payload: bytes, alpha: bytes | None, width: int, height
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(h, w, 4) straight RGBA of a still image."""
+def decode(data: bytes, tables: vp8_frames.Tables | None = None) -> np.ndarray:
+    """(h, w, 4) straight RGBA of a still image; lossy ones need tables."""
     info, kind, payload, alpha = webp.still(data)
-    return _pixels(kind, payload, alpha if kind == b"VP8 " else None, info.width, info.height)
+    return _pixels(kind, payload, alpha if kind == b"VP8 " else None, info.width, info.height, tables)
+
+
+def decode_planes(data: bytes, tables: vp8_frames.Tables) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """Limited-range planes of a lossy still image, and its alpha plane if it has one."""
+    info, kind, payload, alpha = webp.still(data)
+    if kind != b"VP8 ":
+        raise webp.WebpError("unsupported", "only lossy images are made of planes")
+    return vp8_frames.decode_planes(payload, tables), alpha_plane(alpha, info.width, info.height) if alpha is not None else None
 
 
 def blended(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -79,7 +90,7 @@ def blended(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.where(sa == 0, t, np.where(sa == 255, s, out)).astype(np.uint8)
 
 
-def decode_animation(data: bytes):
+def decode_animation(data: bytes, tables: vp8_frames.Tables | None = None):
     """(duration, whole canvas) of each frame, in order; one canvas is held at a time."""
     a = webp.animation(data)
     back = np.array([(a.background >> s) & 255 for s in (16, 8, 0, 24)], np.uint8)
@@ -89,7 +100,7 @@ def decode_animation(data: bytes):
             canvas[last.y : last.y + last.height, last.x : last.x + last.width] = back
         if f.kind == b"VP8L" and f.alpha is not None:
             raise webp.broken("lossless frames must not have an ALPH chunk")
-        own = _pixels(f.kind, f.image, f.alpha, f.width, f.height)
+        own = _pixels(f.kind, f.image, f.alpha, f.width, f.height, tables)
         at = canvas[f.y : f.y + f.height, f.x : f.x + f.width]
         at[:] = blended(own, at) if f.blend else own
         yield f.duration, canvas.copy()
@@ -102,6 +113,28 @@ def encode(rgba: np.ndarray, effort: int = 6, exif: bytes | None = None) -> byte
     return webp.wrapped(b"VP8L", vp8l.encode(rgba_to_argb(rgba), effort), w, h, bool((rgba[..., 3] != 255).any()), exif)
 
 
+def settings(quality: float = 0, effort: int = 0, fallback: int = 4) -> tuple[float, int]:
+    """Quality and effort of an encoder's options: 0 means their defaults, 90 and fallback, and an effort of -1 means none."""
+    if not 0 <= quality <= 100 or not -1 <= effort <= 9:
+        raise webp.WebpError("invalid_param", "quality is from 0 to 100, effort from -1 to 9")
+    return quality or 90, {0: fallback, -1: 0}.get(effort, effort)
+
+
+def encode_lossy(rgba: np.ndarray, tables: vp8_frames.Tables, quality: float = 90, exif: bytes | None = None) -> bytes:
+    """A lossy file of opaque (h, w, 4) pixels."""
+    if (rgba[..., 3] != 255).any():
+        raise webp.WebpError("unsupported", "lossy files are made of opaque images only")
+    return encode_planes(vp8_frames.planes_of(rgba), tables, quality, exif)
+
+
+def encode_planes(planes: list[np.ndarray], tables: vp8_frames.Tables, quality: float = 90, exif: bytes | None = None) -> bytes:
+    """A lossy file of limited-range planes, chroma at half size."""
+    (h, w), half = planes[0].shape, tuple((n + 1) // 2 for n in planes[0].shape)
+    if planes[1].shape != half or planes[2].shape != half:
+        raise webp.WebpError("invalid_param", "chroma planes are half as large as luma, rounded up")
+    return webp.wrapped(b"VP8 ", vp8_frames.encode_planes(planes, tables, settings(quality)[0]), w, h, False, exif)
+
+
 def encode_animation(frames: list[tuple[int, np.ndarray]], effort: int = 6, loops: int = 0) -> bytes:
     """An animation of whole canvases with their durations."""
     h, w, _ = frames[0][1].shape

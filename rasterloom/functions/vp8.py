@@ -1,6 +1,6 @@
 """Parts of the lossy bitstream: the boolean coder, frame headers up to the coefficient probabilities, 4 x 4 prediction, loop filters, trellis.
 
-The macroblock data itself needs probability tables of the format that are not in here; see the README.
+Whole frames are vp8_frames's.
 """
 
 from __future__ import annotations
@@ -59,10 +59,12 @@ class BoolReader:
 
 
 class BoolWriter:
-    """Writes decisions; an interval whose low end is one growing number."""
+    """Writes decisions: the low end of an interval, of which only the last bytes, which a carry can still change often, are one number."""
+
+    WINDOW = 512
 
     def __init__(self) -> None:
-        self.low, self.range, self.shift = 0, 255, 0
+        self.out, self.low, self.range, self.shift = bytearray(), 0, 255, 0
 
     def bit(self, value: int, prob: int = 128) -> None:
         split = 1 + ((self.range - 1) * prob >> 8)
@@ -75,6 +77,20 @@ class BoolWriter:
         self.low <<= n
         self.range <<= n
         self.shift += n
+        if self.shift >= self.WINDOW:
+            self._give(self.shift // 8)
+
+    def _give(self, size: int) -> None:
+        """Moves the number's first bytes out, and its carry into those before."""
+        kept = 8 + self.shift - 8 * size
+        top, self.low, self.shift = self.low >> kept, self.low & ((1 << kept) - 1), self.shift - 8 * size
+        if top >> 8 * size:
+            k = len(self.out) - 1
+            while self.out[k] == 255:
+                self.out[k] = 0
+                k -= 1
+            self.out[k] += 1
+        self.out += (top & ((1 << 8 * size) - 1)).to_bytes(size, "big")
 
     def number(self, value: int, bits: int) -> None:
         for k in reversed(range(bits)):
@@ -88,9 +104,11 @@ class BoolWriter:
 
     def done(self) -> bytes:
         """The interval's low end in whole bytes: the first eight bits decided it before anything was shifted."""
-        bits = self.shift + 8
-        pad = -bits % 8
-        return (self.low << pad).to_bytes((bits + pad) // 8, "big")
+        pad = -self.shift % 8
+        self.low <<= pad
+        self.shift += pad
+        self._give(self.shift // 8 + 1)
+        return bytes(self.out)
 
 
 @dataclass
@@ -130,6 +148,11 @@ class Header:
 
 def read_header(payload: bytes) -> Header:
     """The frame header of a VP8 payload, as far as the quantizers."""
+    return open_header(payload)[0]
+
+
+def open_header(payload: bytes) -> tuple[Header, BoolReader]:
+    """read_header(), and the first partition's reader behind it."""
     h = Header(*image_size(b"VP8 ", payload)[:2])
     tag = int.from_bytes(payload[:3], "little")
     h.profile, h.partition_size = tag >> 1 & 7, tag >> 5
@@ -153,13 +176,25 @@ def read_header(payload: bytes) -> Header:
     h.quantizer = r.number(7)
     h.quantizer_deltas = [r.optional(4) for _ in range(5)]
     if r.over():
-        raise broken("cannot parse frame header")
-    return h
+        raise broken("VP8 ends within its frame header")
+    return h, r
 
 
 def write_header(h: Header) -> bytes:
     """A payload that ends after the quantizers, with what one more byte of its first partition needs."""
     w = BoolWriter()
+    put_header(w, h)
+    body = w.done() + b"\0"
+    return frame_tag(h, len(body)) + body
+
+
+def frame_tag(h: Header, size: int) -> bytes:
+    """What stands before the first partition of size bytes."""
+    tag = (size << 5 | 1 << 4 | h.profile << 1).to_bytes(3, "little")
+    return tag + b"\x9d\x01\x2a" + h.width.to_bytes(2, "little") + h.height.to_bytes(2, "little")
+
+
+def put_header(w: BoolWriter, h: Header) -> None:
     for v in (h.colour_space, h.clamping, int(h.segments)):
         w.bit(v)
     if h.segments:
@@ -184,9 +219,6 @@ def write_header(h: Header) -> bytes:
     w.number(h.quantizer, 7)
     for v in h.quantizer_deltas:
         w.optional(v, 4)
-    body = w.done() + b"\0"
-    tag = (len(body) << 5 | 1 << 4 | h.profile << 1).to_bytes(3, "little")
-    return tag + b"\x9d\x01\x2a" + h.width.to_bytes(2, "little") + h.height.to_bytes(2, "little") + body
 
 
 def subblock(mode: str, above: np.ndarray, left: np.ndarray, corner: int) -> np.ndarray:

@@ -1,7 +1,9 @@
 """Images as DataFrames: files to features, pixels and frames, and back. One image a kernel call, parallel over images.
 
 Sequential bitstreams run in Python over Arrow batches; failures are columns (error_kind, error_msg) in permissive mode, the default, and
-raise in strict mode. Rows carry whole images, so batches are kept to a few rows.
+raise in strict mode. Rows carry whole images: read_files() sets the records of an Arrow batch to BATCH where the session has the
+default, and each image's result is a batch of its own, so that a task holds few images at a time. Lossy images need the format's
+probability tables, a file that every worker finds at the path given.
 """
 
 from __future__ import annotations
@@ -20,8 +22,15 @@ IMAGE = "width int, height int, rgba binary"
 ERRORS = "error_kind string, error_msg string"
 
 
+#: Records of an Arrow batch of images.
+BATCH = 16
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.webp") -> DataFrame:
     """path, length and content of files; content is read only where it is selected."""
+    if spark.conf.get(_RECORDS) == "10000":
+        spark.conf.set(_RECORDS, str(BATCH))
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
@@ -31,23 +40,45 @@ def _mapped(df: DataFrame, schema: str, of: Callable, column: str, strict: bool,
     keep = [c for c in df.columns if c != column]
     whole = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], schema, ERRORS])
 
+    made_of = [c.strip().split(" ") for c in f"{schema}, {ERRORS}".split(",")]
+
     def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            for r in range(len(pdf)):
-                row, value = pdf[keep].iloc[r].to_dict(), pdf[column].iloc[r]
+        import pyarrow as pa
+
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+        for batch in batches:
+            held = batch.select(keep)
+            values = batch.column(batch.schema.get_field_index(column))
+            for r in range(batch.num_rows):
                 try:
+                    value = values[r].as_py()
                     if value is None:
                         raise webp.short("no content")
-                    made = of(bytes(value) if isinstance(value, (bytes, bytearray, memoryview)) else value)
-                    made = list(made) if many else [made]
-                    rows = [row | dict(zip(names, m, strict=True)) | {"error_kind": None, "error_msg": None} for m in made]
+                    made = [(*m, None, None) for m in (of(value) if many else [of(value)])]
                 except (ValueError, IndexError, KeyError, OverflowError) as e:
                     if strict:
                         raise
-                    rows = [row | dict.fromkeys(names) | {"error_kind": getattr(e, "kind", "bitstream"), "error_msg": str(e)}]
-                yield pd.DataFrame(rows, columns=[*keep, *names, "error_kind", "error_msg"]).astype(object)
+                    made = [(*[None] * len(names), getattr(e, "kind", "bitstream"), str(e))]
+                own = [pa.concat_arrays([c] * len(made)) if len(made) != 1 else c for c in held.slice(r, 1).columns]
+                cells = [pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*made, strict=True), made_of, strict=True)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([*own, *cells], [*keep, *[n for n, _ in made_of]])
+
+    return df.mapInArrow(run, whole)
+
+
+def _tables(path: str | None) -> Callable:
+    """A function that gives the probability tables, read once by each task that needs them."""
+    held: list = []
+
+    def read():
+        if path and not held:
+            from rasterloom.functions.vp8_frames import Tables
 
-    return df.mapInPandas(run, whole)
+            held.append(Tables.read(path))
+        return held[0] if held else None
+
+    return read
 
 
 def features(files: DataFrame, content: str = "content", strict: bool = False) -> DataFrame:
@@ -70,40 +101,55 @@ def chunks(files: DataFrame, content: str = "content", strict: bool = False) ->
 _READERS = {"webp": k.decode, "bmp": bitmaps.read_bmp, "png": bitmaps.read_png}
 
 
-def decoded(files: DataFrame, content: str = "content", kind: str = "webp", strict: bool = False) -> DataFrame:
-    """width, height and straight RGBA, row by row, of webp, bmp or png files."""
-    read = _READERS[kind]
+def decoded(files: DataFrame, content: str = "content", kind: str = "webp", strict: bool = False, tables: str | None = None) -> DataFrame:
+    """width, height and straight RGBA, row by row, of webp, bmp or png files; tables: the path of the probability tables."""
+    read, own = _READERS[kind], _tables(tables)
 
     def of(data: bytes) -> tuple:
-        px = read(data)
+        px = read(data, own()) if kind == "webp" else read(data)
         return px.shape[1], px.shape[0], px.tobytes()
 
     return _mapped(files, IMAGE, of, content, strict)
 
 
-def frames(files: DataFrame, content: str = "content", strict: bool = False) -> DataFrame:
+def planes(files: DataFrame, tables: str, content: str = "content", strict: bool = False) -> DataFrame:
+    """width, height and limited-range planes of lossy files; a is null without an alpha plane."""
+    own = _tables(tables)
+
+    def of(data: bytes) -> tuple:
+        (y, u, v), a = k.decode_planes(data, own())
+        return y.shape[1], y.shape[0], y.tobytes(), u.tobytes(), v.tobytes(), None if a is None else a.tobytes()
+
+    return _mapped(files, "width int, height int, y binary, u binary, v binary, a binary", of, content, strict)
+
+
+def frames(files: DataFrame, content: str = "content", strict: bool = False, tables: str | None = None) -> DataFrame:
     """A row for each frame: its duration and the whole canvas; a still image is one frame of no duration."""
+    own = _tables(tables)
+
     def of(data: bytes) -> Iterator[tuple]:
         if webp.features(data).has_animation:
-            for n, (ms, px) in enumerate(k.decode_animation(data)):
+            for n, (ms, px) in enumerate(k.decode_animation(data, own())):
                 yield n, ms, px.shape[1], px.shape[0], px.tobytes()
         else:
-            px = k.decode(data)
+            px = k.decode(data, own())
             yield 0, 0, px.shape[1], px.shape[0], px.tobytes()
 
     return _mapped(files, "frame_idx int, duration_ms int, " + IMAGE, of, content, strict, True)
 
 
-def encoded(images: DataFrame, kind: str = "webp", effort: int = 6, exif: bytes | None = None, strict: bool = False) -> DataFrame:
-    """content of images (width, height, rgba)."""
+def encoded(images: DataFrame, kind: str = "webp", effort: int = 6, exif: bytes | None = None, strict: bool = False, quality: float = 90, tables: str | None = None) -> DataFrame:
+    """content of images (width, height, rgba), as webp (lossless), lossy (which needs tables), bmp or png."""
     import numpy as np
 
+    own = _tables(tables)
+
     def of(v: dict) -> tuple:
         v = v.asDict() if hasattr(v, "asDict") else v
         if not v["width"] or not v["height"] or v["width"] < 0 or len(v["rgba"] or b"") != v["width"] * v["height"] * 4:
             raise webp.WebpError("invalid_param", "pixels do not match the image size")
         px = np.frombuffer(bytes(v["rgba"]), np.uint8).reshape(v["height"], v["width"], 4)
-        return ({"webp": lambda: k.encode(px, effort, exif), "bmp": lambda: bitmaps.write_bmp(px), "png": lambda: bitmaps.write_png(px)}[kind](),)
+        return ({"webp": lambda: k.encode(px, effort, exif), "lossy": lambda: k.encode_lossy(px, own(), quality, exif), "bmp": lambda: bitmaps.write_bmp(px), "png": lambda: bitmaps.write_png(px)}[kind](),)
 
     packed = images.select(*[c for c in images.columns if c not in ("width", "height", "rgba")], F.struct("width", "height", "rgba").alias("_image"))
     return _mapped(packed, "content binary", of, "_image", strict)
