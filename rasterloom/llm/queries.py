@@ -33,7 +33,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    found = lm_scoring.score(table(spark, sf_dir, "documents"))
+    # sums of logarithms differ in their last digits by the order they are added in
+    return found.select("doc_id", "n_words", "n_backoff", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +189,26 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 
 #: For windows of each size the places, counted from their first word, at which the words of a proximity match can stand.
 _SPREADS = ", ".join(f"({n}, [{', '.join(map(str, (1, *c)))}])" for n in range(1, decontamination.WINDOW + 1) for c in combinations(range(2, n + SLOP + 1), n - 1))
+def _backoff_sql() -> str:
+    x = lm_scoring
+    gram = lambda n, end="i": " || ' ' || ".join(f"w[{end} - {k}]" for k in reversed(range(n)))  # noqa: E731  the n-gram that ends at a place
+    count = lambda n: f"k{n} AS (SELECT g{n} AS g, count(*) AS c FROM p WHERE g{n} IS NOT NULL GROUP BY g{n})"
+    best, backed = "ln(c1) - ln((SELECT count(*) FROM p))", "false"
+    for n in range(2, x.ORDER + 1):
+        best = f"CASE WHEN i < {n} THEN {best} WHEN c{n} >= {x.MIN_COUNT} THEN ln(c{n}) - ln(o{n - 1}) ELSE {best} + ln({x.BACKOFF}) END"
+        backed = f"CASE WHEN i < {n} THEN {backed} ELSE c{n} < {x.MIN_COUNT} END"
+    orders = range(1, x.ORDER + 1)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_STRICT} AS w FROM documents),
+p AS (SELECT rid, i, {', '.join(f"CASE WHEN i >= {n} THEN {gram(n)} END AS g{n}" for n in orders)}, {', '.join(f"CASE WHEN i > {n} THEN {gram(n, '(i - 1)')} END AS b{n}" for n in range(1, x.ORDER))} FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+{', '.join(count(n) for n in orders)},
+s AS (SELECT rid, {best} AS best, {backed} AS backed FROM (SELECT p.rid, p.i, {', '.join(f'k{n}.c AS c{n}' for n in orders)}, {', '.join(f'o{n}.c AS o{n}' for n in range(1, x.ORDER))} FROM p {' '.join(f'LEFT JOIN k{n} ON k{n}.g = p.g{n}' for n in orders)} {' '.join(f'LEFT JOIN k{n} o{n} ON o{n}.g = p.b{n}' for n in range(1, x.ORDER))})),
+t AS (SELECT rid, sum(best) AS best, sum(CASE WHEN backed THEN 1 ELSE 0 END) AS backed FROM s GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(backed, 0) AS BIGINT) AS n_backoff, round(coalesce(best, 0.0), 4) AS log_score, round(best / len(w), 4) AS mean_log_score FROM d LEFT JOIN t USING (rid)"""
+
+
 SQL: dict[str, str] = {
+    "op3_lm_scoring": _backoff_sql(),
     "op9_secret_scan": _secret_sql(),
     "op6_mixing": _mixing_sql(),
     "op7_license_scan": _license_sql(),

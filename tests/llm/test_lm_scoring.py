@@ -2,8 +2,9 @@ import math
 from collections import Counter
 
 from rasterloom.llm import lm_scoring as m
-from rasterloom.llm.queries import op3_lm_scoring
+from rasterloom.llm.queries import SQL, op3_lm_scoring
 from tests.llm.test_decontamination import words
+from tests.oracle import compare
 
 
 def brute(texts, order, backoff=m.BACKOFF, least=m.MIN_COUNT):
@@ -23,14 +24,14 @@ def brute(texts, order, backoff=m.BACKOFF, least=m.MIN_COUNT):
     return out
 
 
-def check(got, ids, want):
-    got = sorted((repr(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in got)
-    assert got == sorted((repr(i), a, b, round(x, 6)) for i, (a, b, x) in zip(ids, want, strict=True))
+def check(got, ids, want, digits=6):
+    got = sorted((repr(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, digits)) for r in got)
+    assert got == sorted((repr(i), a, b, round(x, digits)) for i, (a, b, x) in zip(ids, want, strict=True))
 
 
 def test_against_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    check(op3_lm_scoring(spark, sf_dir).collect(), [r.doc_id for r in rows], brute([r.text for r in rows], m.ORDER))
+    check(op3_lm_scoring(spark, sf_dir).collect(), [r.doc_id for r in rows], brute([r.text for r in rows], m.ORDER), 4)
 
 
 def test_orders_blocks_and_parts(spark, odd, prose, monkeypatch):
@@ -54,5 +55,9 @@ def test_query_tells_common_pairs_in_rare_sequences(spark, odd, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], odd.schema)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = op3_lm_scoring(spark, str(tmp_path)).collect()
-    check(got, range(len(texts)), brute(texts, 3))
+    check(got, range(len(texts)), brute(texts, 3), 4)
     assert {r.doc_id: r.n_backoff > 0 for r in got} == {i: i == len(texts) - 1 for i in range(len(texts))}
+
+
+def test_against_sql(spark, sf_dir):
+    assert compare(op3_lm_scoring(spark, sf_dir), SQL["op3_lm_scoring"], sf_dir) >= 200

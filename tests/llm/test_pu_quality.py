@@ -37,3 +37,21 @@ def test_negative_labels_are_never_read(spark, odd):
     assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
     assert p.score(odd.limit(0), a).count() == 0
     assert {r.score for r in p.score(odd, p.learn(odd, labels.limit(0))).collect()} == {0.5}
+
+
+def test_scores_by_plain_python(spark, odd, prose):
+    docs = odd.union(spark.createDataFrame([(100 + i, t + "!?# " * (i % 5), "en", "s", 1) for i, t in enumerate(prose(60))], odd.schema))
+    model = p.learn(docs, spark.createDataFrame([(100 + i, 1) for i in range(0, 60, 5)], "doc_id long, quality int"))
+    want = []
+    for r in docs.collect():
+        z = model.bias + sum(model.weights[f][sum(cut < x for cut in model.cuts[f])] for f, x in enumerate(p.statistics(r.text)))
+        want.append((repr(r.doc_id), round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)))
+    assert sorted((repr(r.doc_id), round(r.score, 9)) for r in p.score(docs, model).collect()) == sorted(want)
+
+
+def test_copies_of_an_id_do_not_add_rows(spark, monkeypatch):
+    many = spark.createDataFrame([(i % 30, f"text {i % 30} {'x' * (i // 30 % 4)}") for i in range(3000)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(p, "fit", lambda a, b, **_: seen.append((len(a), len(b))))
+    p.learn(many, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int"), max_positive=7, max_unlabelled=11)
+    assert seen == [(7, 11)]
