@@ -5,8 +5,8 @@ words tell in a long text as well as in a short one. From labelled documents eac
 classes. Of the cells that MIN_DOCS sampled documents have, the model's features are the MAX_CELLS whose presence tells most, by the
 G-test. A logistic regression is fitted on r-scaled presences.
 
-The labelled sample is bounded by MAX_ROWS and the model by MAX_CELLS, at every input size, and so is what comes to the driver: a packed
-row of 32-bit cell numbers for each sampled document. Counts are summed by Spark from one row a cell and task. Scoring is one narrow pass
+The labelled sample is bounded by MAX_ROWS and the model by MAX_CELLS, at every input size, and so is what comes to the driver: a row
+of as many bits as the model has features for each sampled document. Counts are summed by Spark from one row a cell and task. Scoring is one narrow pass
 over all whole texts, long ones taken in slices that overlap.
 
 Cases: null and empty texts have no cells and get the intercept's score; a very long text is gone through whole, a slice at a time; repeated
@@ -74,6 +74,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[present(text, self.chosen)].sum(), -30, 30))))
 
 
+def packed(numbers: np.ndarray, size: int) -> bytes:
+    """Which of size cells a text has, a bit each."""
+    has = np.zeros(size, bool)
+    has[numbers] = True
+    return np.packbits(has).tobytes()
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on presences times ratio: full-batch Nesterov steps under a bound of the curvature."""
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -129,17 +136,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     top = _counts(sample).where(F.col("pos") + F.col("neg") >= MIN_DOCS).select("cell", r.alias("r"), gain.alias("gain")).orderBy(F.desc("gain"), "cell").limit(max_cells).collect()
     for k, x in enumerate(top):
         blank[x.cell] = k
-    ratio, sent = np.array([x.r for x in top]), docs.sparkSession.sparkContext.broadcast(blank)
+    ratio, size, sent = np.array([x.r for x in top]), len(top), docs.sparkSession.sparkContext.broadcast(blank)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([present(t.as_py(), sent.value).astype(np.int32).tobytes() for t in b.column(2)], pa.binary())], ["doc_id", "label", "has"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(present(t.as_py(), sent.value), size) for t in b.column(2)], pa.binary())], ["doc_id", "label", "has"])
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, has binary").collect()
     rows = sorted((r.doc_id, r.label, bytes(r.has)) for r in rows)
-    w, b = fit([np.frombuffer(x[2], np.int32) for x in rows], np.array([float(x[1] > 0) for x in rows]), ratio)
+    w, b = fit([np.flatnonzero(np.unpackbits(np.frombuffer(x[2], np.uint8))).astype(np.int32) for x in rows], np.array([float(x[1] > 0) for x in rows]), ratio)
     return Model(blank, w, b)
 
 
