@@ -1,8 +1,9 @@
 """The lossless bitstream, decoded and encoded: one image a call, pixels as a numpy array of packed ARGB.
 
-Bits are read and written in Python, as each depends on those before it; transforms are done in numpy where pixels don't depend on
-each other's results. The encoder subtracts green, predicts by the cheapest mode of each tile, takes a palette where there are few
-colours, finds matches with hash chains and codes all with length-limited Huffman codes; it keeps the smallest of its candidates.
+Bits are read in Python, as each depends on those before it; all else is numpy. Predictions are undone along slanted lines of pixels that
+don't depend on each other. The encoder subtracts green, predicts by the cheapest mode of each tile, fits colours to each other, takes
+a palette where there are few, finds matches along chains of equal pixels, keeps recent colours in a cache and codes groups of tiles with
+length-limited Huffman codes of their own; it keeps the smallest of its candidates.
 """
 
 from __future__ import annotations
@@ -167,28 +168,53 @@ def _stream(r: Reader, width: int, height: int, top: bool) -> list[int]:
         groups = max(meta) + 1
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     codes = [[Code(_read_lengths(r, n)) for n in sizes] for _ in range(groups)]
+    tables = [[(c.table, (1 << c.bits) - 1) for c in g] for g in codes]
     out: list[int] = []
-    cache, kept, total = [0] * (1 << cache_bits), 0, width * height
-    while len(out) < total:
-        at = len(out)
-        g = codes[meta[(at // width >> tile) * across + (at % width >> tile)]] if meta else codes[0]
-        s = g[0].read(r)
+    cache, kept, total, length = [0] * (1 << cache_bits), 0, width * height, 0
+    data, at, acc, n = r.data, r.at, r.acc, r.n  # reads are written out, as calls would cost more than they do
+    end = len(data) + 8
+    (t0, m0), (t1, m1), (t2, m2), (t3, m3), _ = tables[0]
+    while length < total:
+        if n < 64:
+            if at > end:
+                raise short("VP8L bits")
+            acc |= int.from_bytes(data[at : at + 8], "little") << n
+            at += 8
+            n += 64
+        if meta:
+            (t0, m0), (t1, m1), (t2, m2), (t3, m3), _ = tables[meta[(length // width >> tile) * across + (length % width >> tile)]]
+        k, s = t0[acc & m0]
+        acc >>= k
         if s < 256:
-            red, blue = g[1].read(r), g[2].read(r)
-            out.append(g[3].read(r) << 24 | red << 16 | s << 8 | blue)
+            k1, red = t1[acc & m1]
+            acc >>= k1
+            k2, blue = t2[acc & m2]
+            acc >>= k2
+            k3, alpha = t3[acc & m3]
+            acc >>= k3
+            n -= k + k1 + k2 + k3
+            out.append(alpha << 24 | red << 16 | s << 8 | blue)
+            length += 1
         elif s < 280:
-            n = _prefix_value(r, s - 256)
+            r.at, r.acc, r.n = at, acc, n - k
+            g = codes[meta[(length // width >> tile) * across + (length % width >> tile)]] if meta else codes[0]
+            run = _prefix_value(r, s - 256)
             d = code_to_distance(_prefix_value(r, g[4].read(r)), width)
-            if d > at or at + n > total:
+            at, acc, n = r.at, r.acc, r.n
+            if d > length or length + run > total:
                 raise broken("match runs over")
-            for k in range(at - d, at - d + n):
-                out.append(out[k])
+            piece = out[length - d : length - d + run]
+            out += (piece * (run // d + 1))[:run] if d < run else piece
+            length += run
         else:
-            for p in out[kept:at]:
+            n -= k
+            for p in out[kept:length]:
                 cache[(p * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-            kept = at
+            kept = length
             out.append(cache[s - 280])
-        r.check()
+            length += 1
+    r.at, r.acc, r.n = at, acc, n
+    r.check()
     return out
 
 
@@ -205,60 +231,48 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return ((x & 255) ^ 128) - 128
 
 
-def predictions(c: np.ndarray) -> np.ndarray:
-    """(14, h, w, 4): what each mode predicts from the neighbours in c, (h, w, 4), itself."""
-    h, w, _ = c.shape
-    flat = np.concatenate([np.zeros((w + 1, 4), np.int64), c.reshape(-1, 4)])
-    at = lambda back: flat[w + 1 - back : w + 1 - back + h * w].reshape(h, w, 4)
-    left, top, tl, tr = at(1), at(w), at(w + 1), at(w - 1) if w > 1 else at(0)
-    black = np.broadcast_to(np.array([255, 0, 0, 0]), c.shape)
+def _modes(left: np.ndarray, top: np.ndarray, tl: np.ndarray, tr: np.ndarray) -> np.ndarray:
+    """(14, ..., 4): what each mode predicts from the neighbours, (..., 4) each."""
     mean = lambda a, b: (a + b) >> 1
-    nearer = (np.abs(left - tl).sum(axis=2) <= np.abs(top - tl).sum(axis=2))[..., None]
+    nearer = (np.abs(left - tl).sum(axis=-1) <= np.abs(top - tl).sum(axis=-1))[..., None]
     base = mean(left, top)
     half = base - tl
-    out = np.stack([
-        black, left, top, tr, tl, mean(mean(left, tr), top), mean(left, tl), mean(left, top), mean(tl, top), mean(top, tr), mean(mean(left, tl), mean(top, tr)),
+    black = np.broadcast_to(np.array([255, 0, 0, 0], left.dtype), left.shape)
+    return np.stack([
+        black, left, top, tr, tl, mean(mean(left, tr), top), mean(left, tl), base, mean(tl, top), mean(top, tr), mean(mean(left, tl), mean(top, tr)),
         np.where(nearer, top, left), np.clip(left + top - tl, 0, 255), np.clip(base + np.where(half < 0, -(-half // 2), half // 2), 0, 255),
     ])
+
+
+def predictions(c: np.ndarray) -> np.ndarray:
+    """(14, h, w, 4): what each mode predicts from the neighbours in c, (h, w, 4), itself."""
+    h, w, _ = c.shape
+    flat = np.concatenate([np.zeros((w + 1, 4), c.dtype), c.reshape(-1, 4)])
+    at = lambda back: flat[w + 1 - back : w + 1 - back + h * w].reshape(h, w, 4)
+    left, top, tl, tr = at(1), at(w), at(w + 1), at(w - 1) if w > 1 else at(0)
+    out = _modes(left, top, tl, tr)
     out[:, 0], out[:, :, 0] = left[0], top[:, 0]
-    out[:, 0, 0] = black[0, 0]
+    out[:, 0, 0] = [255, 0, 0, 0]
     return out
 
 
-def _predicted(mode: int, left: tuple, top: tuple, tl: tuple, tr: tuple) -> list[int]:
-    mean = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-    if mode in (0, 14, 15):
-        return [255, 0, 0, 0]
-    if mode <= 4:
-        return (left, top, tr, tl)[mode - 1]
-    if mode == 5:
-        return mean(mean(left, tr), top)
-    if mode <= 9:
-        return mean(*((left, tl), (left, top), (tl, top), (top, tr))[mode - 6])
-    if mode == 10:
-        return mean(mean(left, tl), mean(top, tr))
-    if mode == 11:
-        far = sum(abs(a - c) - abs(b - c) for a, b, c in zip(left, top, tl, strict=True))
-        return top if far <= 0 else left
-    if mode == 12:
-        return [min(255, max(0, a + b - c)) for a, b, c in zip(left, top, tl, strict=True)]
-    return [min(255, max(0, m + int((m - c) / 2))) for m, c in zip(mean(left, top), tl, strict=True)]
-
-
-def _undo_prediction(argb: list[int], modes: list[int], bits: int, width: int, height: int) -> list[int]:
-    """Each pixel needs the ones before it, so this goes one by one."""
-    c = [((p >> 24) & 255, (p >> 16) & 255, (p >> 8) & 255, p & 255) for p in argb]
+def _undo_prediction(argb: np.ndarray, modes: list[int], bits: int, width: int, height: int) -> np.ndarray:
+    """Pixels (x, y) of one x + 2 y need only such of lesser ones, the right one above being one less; so these are done at once."""
     across = -(-width // (1 << bits))
-    for i in range(width * height):
-        y, x = divmod(i, width)
-        if not y:
-            guess = c[i - 1] if x else (255, 0, 0, 0)
-        elif not x:
-            guess = c[i - width]
-        else:
-            guess = _predicted(modes[(y >> bits) * across + (x >> bits)] >> 8 & 15, c[i - 1], c[i - width], c[i - width - 1], c[i - width + 1])
-        c[i] = tuple((a + b) & 255 for a, b in zip(c[i], guess, strict=True))
-    return [a << 24 | r << 16 | g << 8 | b for a, r, g, b in c]
+    tiles = (np.array(modes, np.int64) >> 8 & 15).reshape(-1, across)
+    mode = np.repeat(np.repeat(tiles, 1 << bits, 0), 1 << bits, 1)[:height, :width].copy()
+    mode[mode > 13] = 0
+    mode[0], mode[:, 0], mode[0, 0] = 1, 2, 0
+    mode = mode.ravel()
+    c = np.zeros(((height + 1) * width + 1, 4), np.int16)
+    c[width + 1 :] = _channels(argb)
+    for t in range(width + 2 * height - 2):
+        y = np.arange(max(0, (t - width + 2) // 2), min(height - 1, t // 2) + 1)
+        i = t + y * (width - 2)
+        here = i + width + 1
+        guess = _modes(c[here - 1], c[here - width], c[here - width - 1], c[here - width + 1])
+        c[here] = (c[here] + guess[mode[i], np.arange(len(i))]) & 255
+    return _joined(c[width + 1 :].astype(np.int64))
 
 
 def _undo_cross(argb: np.ndarray, tiles: list[int], bits: int, width: int, height: int) -> np.ndarray:
@@ -298,7 +312,7 @@ def _decode(r: Reader, width: int, height: int) -> np.ndarray:
     argb = np.array(_stream(r, wide, height, True), np.int64)
     for kind, bits, own, wide in reversed(steps):
         if kind == 0:
-            argb = np.array(_undo_prediction(argb.tolist(), own, bits, wide, height), np.int64)
+            argb = _undo_prediction(argb, own, bits, wide, height)
         elif kind == 1:
             argb = _undo_cross(argb, own, bits, wide, height)
         elif kind == 2:
@@ -343,6 +357,14 @@ class Writer:
             self.acc >>= 8 * k
             self.n -= 8 * k
 
+    def put_all(self, values: np.ndarray, bits: np.ndarray) -> None:
+        for k in range(0, len(bits), 1 << 18):  # a bounded number at once, each bit being a byte here
+            v, n = values[k : k + (1 << 18)], bits[k : k + (1 << 18)]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            flags = (np.repeat(v, n) >> place & 1).astype(np.uint8)
+            self.put(int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little"), int(ends[-1]))
+
     def done(self) -> bytes:
         return b"".join(self.parts) + self.acc.to_bytes(-(-self.n // 8), "little")
 
@@ -446,61 +468,188 @@ def _prefix(v: int) -> tuple[int, int, int]:
     return 2 * high + (v >> (high - 1) & 1), high - 1, v & ((1 << (high - 1)) - 1)
 
 
-def _tokens(argb: list[int], width: int, chain: int) -> list[tuple[int, int]]:
-    """(0, pixel) or (length, distance), by greedy matches over hash chains of three pixels, chain candidates long at most."""
-    out, n, i = [], len(argb), 0
-    heads: dict[tuple, list[int]] = {}
-    while i < n:
-        best = (0, 0)
-        if chain and i + 3 <= n:
-            key = (argb[i], argb[i + 1], argb[i + 2])
-            tried = heads.setdefault(key, [])
-            for p in reversed(tried[-chain:]):
-                k, most = 3, min(4096, n - i)
-                while k < most and argb[p + k] == argb[i + k]:
-                    k += 1
-                if k > best[0]:
-                    best = (k, i - p)
-            tried.append(i)
-        if best[0]:
-            for p in range(i + 1, min(i + best[0], n - 2)):
-                heads.setdefault((argb[p], argb[p + 1], argb[p + 2]), []).append(p)
-            out.append(best)
-            i += best[0]
+#: Places a chain is followed for, by effort.
+CHAINS = (0, 4, 8, 8, 16, 16, 24, 32, 48, 64)
+#: Farthest and longest matches: what the largest distance and length codes can say.
+FAR, LONG = (1 << 20) - 120, 4096
+
+
+def _alike(raw: bytes, p: int, i: int, most: int) -> int:
+    """How many pixels, up to most, are the same from p and from i on: in steps that double, and halve from the first difference on."""
+    k, step, met = 0, 4, False
+    while k < most:
+        n = min(step, most - k)
+        if raw[4 * (p + k) : 4 * (p + k + n)] == raw[4 * (i + k) : 4 * (i + k + n)]:
+            k += n
+            step = max(1, step >> 1) if met else 2 * step
+        elif n == 1:
+            break
         else:
-            out.append((0, argb[i]))
-            i += 1
+            met, step = True, n >> 1
+    return k
+
+
+def _matches(argb: np.ndarray, width: int, chain: int, lazy: bool) -> np.ndarray:
+    """(start, length, distance) of matches, found along chains of places whose three pixels are the same, chain places at most, and in
+    the row above; lazy: a match gives way to a longer one that begins a pixel later."""
+    n = len(argb)
+    if not chain or n < 4:
+        return np.zeros((0, 3), np.int64)
+    key = ((argb[:-2] * 0x9E3779B1) ^ argb[1:-1]) * 0x85EBCA6B ^ argb[2:]  # equal keys of other pixels are found out when compared
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    back, raw, px = before.tolist(), argb.astype("<u4").tobytes(), argb.tolist()
+
+    def longest(i: int) -> tuple[int, int]:
+        most, k, d = min(LONG, n - i), 0, 0
+        if width <= i and width <= FAR and px[i - width] == px[i]:
+            k, d = _alike(raw, i - width, i, most), width
+        p = back[i]
+        for _ in range(chain):
+            if p < 0 or i - p > FAR or k >= min(most, 128):
+                break
+            if px[p + k] == px[i + k]:  # else it can't be longer
+                own = _alike(raw, p, i, most)
+                if own > k:
+                    k, d = own, i - p
+            p = back[p]
+        return k, d
+
+    out, done, ahead = [], 0, (-1, (0, 0))
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < done:
+            continue
+        k, d = ahead[1] if ahead[0] == i else longest(i)
+        if k < 3:
+            continue
+        if lazy and k < 16 and back[i + 1] >= 0:
+            ahead = i + 1, longest(i + 1)
+            if ahead[1][0] > k + 1:
+                continue
+        out.append((i, k, d))
+        done = i + k
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _cached(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pixel: its place in a cache of so many bits, and whether it is there already, put by the pixels before it."""
+    place = ((argb * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - bits)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    there = np.zeros(len(argb), bool)
+    there[order[1:]] = argb[order[1:]] == argb[order[:-1]]  # the same colour has the same place
+    return place.astype(np.int64), there
+
+
+def _bits_of(counts: np.ndarray) -> np.ndarray:
+    """Estimated bits of symbols so often used and of their code, by the last axis."""
+    n = counts.astype(np.float64)
+    total = n.sum(axis=-1)
+    return total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=-1) + 4.0 * (counts > 0).sum(axis=-1)
+
+
+def _best_cache(argb: np.ndarray, lone: np.ndarray) -> int:
+    """The cache size that makes the lone pixels cheapest, 0 for none; no more bits than there are colours for."""
+    own = argb[lone]
+    green, others = own >> 8 & 255, [own >> 16 & 255, own & 255, own >> 24 & 255]
+    best, out = sum(float(_bits_of(np.bincount(x, minlength=256))) for x in (green, *others)), 0
+    for bits in range(1, min(10, max(1, (len(np.unique(own)) - 1).bit_length())) + 1):
+        place, there = (x[lone] for x in _cached(argb, bits))
+        cost = float(_bits_of(np.concatenate([np.bincount(green[~there], minlength=256), np.bincount(place[there], minlength=1 << bits)])))
+        cost += sum(float(_bits_of(np.bincount(x[~there], minlength=256))) for x in others)
+        if cost < best:
+            best, out = cost, bits
     return out
 
 
-def _put_stream(w: Writer, argb: list[int], width: int, top: bool, chain: int) -> None:
-    tokens = _tokens(argb, width, chain)
-    counts = [[0] * n for n in (280, 256, 256, 256, 40)]
-    coded = []
-    for n, v in tokens:
-        if n:
-            a, b = _prefix(n), _prefix(distance_to_code(v, width))
-            counts[0][256 + a[0]] += 1
-            counts[4][b[0]] += 1
-            coded.append((a, b))
-        else:
-            for k, s in enumerate((v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24)):
-                counts[k][s] += 1
-            coded.append(v)
-    w.put(0, 1)
+def _code_groups(tile: np.ndarray, symbols: np.ndarray, tiles: int, base: list[int]) -> np.ndarray | None:
+    """Of each tile the group whose codes it is written with; None where one group is as cheap.
+
+    Tiles start in up to eight groups by what a symbol of theirs costs with common codes; then each goes to the group whose codes make
+    it cheapest, a few times; then the two groups that gain most by being one become one, as long as any do."""
+    size = base[-1]
+    rows, cols = np.nonzero(symbols >= 0)
+    hist = np.bincount(tile[rows] * size + symbols[rows, cols], minlength=tiles * size).reshape(tiles, size)
+    parts = [slice(a, b) for a, b in zip(base[:-1], base[1:], strict=True)]
+    price = lambda h: np.concatenate([-np.log2((h[..., p] + 0.1) / (h[..., p] + 0.1).sum(axis=-1, keepdims=True)) for p in parts], axis=-1)
+    cost = lambda h: sum(_bits_of(h[..., p]) for p in parts)
+    summed = lambda of: np.stack([hist[of == g].sum(axis=0) for g in np.unique(of)])
+    each = hist @ price(hist.sum(axis=0)) / np.maximum(hist.sum(axis=1), 1)
+    groups = min(8, tiles)
+    of = np.empty(tiles, np.int64)
+    of[np.argsort(each, kind="stable")] = np.arange(tiles) * groups // tiles
+    for _ in range(4):
+        of = np.argmin(hist @ price(summed(of)).T, axis=1)
+    of = np.unique(of, return_inverse=True)[1]
+    while (h := summed(of)).shape[0] > 1:
+        own = cost(h)
+        gains = {(a, b): own[a] + own[b] - float(cost(h[a] + h[b])) for b in range(len(h)) for a in range(b)}
+        a, b = max(gains, key=gains.get)
+        if gains[a, b] <= 0:
+            break
+        of = np.unique(np.where(of == b, a, of), return_inverse=True)[1]
+    return of if len(h) > 1 and own.sum() + 2.0 * tiles < float(cost(hist.sum(axis=0))) else None
+
+
+def _each(f, values: np.ndarray) -> np.ndarray:
+    """f's results, three numbers each, worked out once a distinct value."""
+    own, at = np.unique(values, return_inverse=True)
+    return np.array([f(v) for v in own.tolist()], np.int64).reshape(-1, 3)[at]
+
+
+def _put_stream(w: Writer, argb, width: int, top: bool, effort: int) -> None:
+    argb = np.asarray(argb, np.int64)
+    found = _matches(argb, width, CHAINS[effort], effort >= 5)
+    begins, depth = np.zeros(len(argb), bool), np.zeros(len(argb) + 1, np.int64)
+    begins[found[:, 0]] = True
+    depth[found[:, 0]] += 1
+    np.subtract.at(depth, found[:, 0] + found[:, 1], 1)
+    lone = np.cumsum(depth)[:-1] == 0
+    starts = np.flatnonzero(lone | begins)
+    match = begins[starts]
+    cache = _best_cache(argb, lone) if top and effort >= 3 else 0
+    sizes = (280 + ((1 << cache) if cache else 0), 256, 256, 256, 40)
+    base = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    # four codes a token at most: of a symbol, or where that is -1, of so many bits as they are
+    symbols, plain, wide = np.full((len(starts), 4), -1), np.zeros((len(starts), 4), np.int64), np.zeros((len(starts), 4), np.int64)
+    p = argb[starts[~match]]
+    symbols[~match] = np.stack([p >> 8 & 255, base[1] + (p >> 16 & 255), base[2] + (p & 255), base[3] + (p >> 24 & 255)], axis=1)
+    if cache:
+        place, there = (x[starts] for x in _cached(argb, cache))
+        symbols[there & ~match] = -1
+        symbols[there & ~match, 0] = 280 + place[there & ~match]
+    a, b = _each(_prefix, found[:, 1]), _each(lambda d: _prefix(distance_to_code(d, width)), found[:, 2])
+    symbols[match, 0], wide[match, 1], plain[match, 1] = 256 + a[:, 0], a[:, 1], a[:, 2]
+    symbols[match, 2], wide[match, 3], plain[match, 3] = base[4] + b[:, 0], b[:, 1], b[:, 2]
+    w.put(int(cache > 0), 1)
+    if cache:
+        w.put(cache, 4)
+    group, of = np.zeros(len(starts), np.int64), None
     if top:
-        w.put(0, 1)
-    codes = [_put_code(w, c) for c in counts]
-    for t in coded:
-        if isinstance(t, tuple):
-            (s, n, v), (s2, n2, v2) = t
-            w.put(*codes[0][256 + s])
-            w.put(v, n)
-            w.put(*codes[4][s2])
-            w.put(v2, n2)
-        else:
-            for k, s in enumerate((t >> 8 & 255, t >> 16 & 255, t & 255, t >> 24)):
-                w.put(*codes[k][s])
+        height, bits = len(argb) // width, 4
+        while -(-width >> bits) * -(-height >> bits) > 1024:
+            bits += 1
+        across = -(-width >> bits)
+        tile = (starts // width >> bits) * across + (starts % width >> bits)
+        of = _code_groups(tile, symbols, across * -(-height >> bits), base) if effort >= 4 and bits <= 9 else None
+        w.put(int(of is not None), 1)
+        if of is not None:
+            w.put(bits - 2, 3)
+            _put_stream(w, BLACK | of << 8, across, False, effort)
+            group = of[tile]
+    n_groups = 1 if of is None else int(of.max()) + 1
+    value, length = np.zeros((n_groups, base[-1]), np.int64), np.zeros((n_groups, base[-1]), np.int64)
+    for g in range(n_groups):
+        used = symbols[group == g]
+        counts = np.bincount(used[used >= 0], minlength=base[-1])
+        for begin, end in zip(base[:-1], base[1:], strict=True):
+            for s, (v, n) in _put_code(w, counts[begin:end].tolist()).items():
+                value[g, begin + s], length[g, begin + s] = v, n
+    coded = symbols >= 0
+    g, s = np.broadcast_to(group[:, None], symbols.shape)[coded], symbols[coded]
+    plain[coded], wide[coded] = value[g, s], length[g, s]
+    w.put_all(plain.ravel(), wide.ravel())
 
 
 def _entropy(c: np.ndarray) -> float:
@@ -512,6 +661,34 @@ def _entropy(c: np.ndarray) -> float:
     return total
 
 
+def _by_tile(x: np.ndarray, bits: int) -> np.ndarray:
+    """Sums over tiles of the last two axes."""
+    h, w = x.shape[-2:]
+    th, tw, side = -(-h // (1 << bits)), -(-w // (1 << bits)), 1 << bits
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(0, th * side - h), (0, tw * side - w)])
+    return padded.reshape(*x.shape[:-2], th, side, tw, side).sum(axis=(-3, -1))
+
+
+def _to_pixels(x: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
+    return np.repeat(np.repeat(x, 1 << bits, 0), 1 << bits, 1)[:h, :w]
+
+
+def _cross(c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each tile's multipliers, as pixels, and what they leave: red fitted to green, blue to green and red at once, by least squares."""
+    red, green, blue = (_signed(c[..., k]) for k in (1, 2, 3))
+    gg, gr, rr, gb, rb = _by_tile(np.stack([green * green, green * red, red * red, green * blue, red * blue]), bits).astype(np.float64)
+    det = gg * rr - gr * gr
+    solved = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y != 0)
+    alone = solved(gb, gg)
+    fits = solved(gr, gg), np.where(det == 0, alone, solved(gb * rr - rb * gr, det)), solved(rb * gg - gb * gr, det)
+    m = [np.clip(np.rint(32 * x), -128, 127).astype(np.int64) for x in fits]
+    to_red, to_blue, red_to_blue = (_to_pixels(x, bits, *red.shape) for x in m)
+    rest = c.copy()
+    rest[..., 1] -= (to_red * green) >> 5
+    rest[..., 3] -= ((to_blue * green) >> 5) + ((red_to_blue * red) >> 5)
+    return BLACK | (m[2] & 255) << 16 | (m[1] & 255) << 8 | (m[0] & 255), rest & 255
+
+
 def _plans(argb: np.ndarray, effort: int) -> list[tuple[float, list, np.ndarray]]:
     """(estimated bits, transforms, pixels) of the candidates; a transform is (kind, bits, its image or None)."""
     own = _channels(argb)
@@ -524,17 +701,17 @@ def _plans(argb: np.ndarray, effort: int) -> list[tuple[float, list, np.ndarray]
     if effort >= 2:
         bits = 4
         for steps, c in [(list(x[1]), x[2]) for x in out]:
-            guess = predictions(c)
-            off = np.abs(c - guess)
+            guess = predictions(c.astype(np.int16))
+            off = np.abs(c.astype(np.int16) - guess)
             cost = np.minimum(off, 256 - off).sum(axis=3)
-            h, w = argb.shape
-            th, tw = -(-h // (1 << bits)), -(-w // (1 << bits))
-            padded = np.pad(cost, ((0, 0), (0, (th << bits) - h), (0, (tw << bits) - w)))
-            mode = padded.reshape(14, th, 1 << bits, tw, 1 << bits).sum(axis=(2, 4)).argmin(axis=0)
-            full = np.repeat(np.repeat(mode, 1 << bits, 0), 1 << bits, 1)[:h, :w]
-            rest = (c - np.take_along_axis(guess, full[None, :, :, None], 0)[0]) & 255
-            image = (BLACK | mode << 8).ravel().tolist()
+            mode = _by_tile(cost, bits).argmin(axis=0)
+            rest = (c - np.take_along_axis(guess, _to_pixels(mode, bits, *argb.shape)[None, :, :, None], 0)[0]) & 255
+            image = (BLACK | mode << 8).ravel()
             out.append((_entropy(rest) + 4.0 * mode.size, [*steps, (0, bits, image)], rest))
+    if effort >= 3:
+        for steps, c in [(list(x[1]), x[2]) for x in out if all(t[0] != 2 for t in x[1])]:
+            image, rest = _cross(c, 5)
+            out.append((_entropy(rest) + 12.0 * image.size, [*steps, (1, 5, image.ravel())], rest))
     return sorted(out, key=lambda x: x[0])
 
 
@@ -546,7 +723,7 @@ def encode(argb: np.ndarray, effort: int = 6) -> bytes:
     if not 1 <= w <= 16384 or not 1 <= h <= 16384:
         raise WebpError("invalid_param", "image dimensions must be from 1 to 16384")
     argb = argb.astype(np.int64)
-    has_alpha, chain = bool((argb >> 24 != 255).any()), (0, 4, 16, 16, 32, 32, 64, 64, 64, 64)[effort]
+    has_alpha = bool((argb >> 24 != 255).any())
     head = b"\x2f" + (w - 1 | (h - 1) << 14 | has_alpha << 28).to_bytes(4, "little")
     done = []
     colours = np.unique(argb)
@@ -556,13 +733,13 @@ def encode(argb: np.ndarray, effort: int = 6) -> bytes:
         out.put(3, 2)
         out.put(n - 1, 8)
         steps = _channels(colours)
-        _put_stream(out, _joined(np.diff(steps, axis=0, prepend=0)).tolist(), n, False, 0)
+        _put_stream(out, _joined(np.diff(steps, axis=0, prepend=0)), n, False, 0)
         bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
         wide = -(-w // (1 << bits))
         index = np.pad(np.searchsorted(colours, argb), ((0, 0), (0, (wide << bits) - w))).reshape(h, wide, 1 << bits)
         packed = (index << (np.arange(1 << bits) * (8 >> bits))).sum(axis=2)
         out.put(0, 1)
-        _put_stream(out, (BLACK | packed << 8).ravel().tolist(), wide, True, chain)
+        _put_stream(out, (BLACK | packed << 8).ravel(), wide, True, effort)
         done.append(out.done())
     plans = _plans(argb, min(effort, 3))
     best = plans[0][0]
@@ -575,8 +752,8 @@ def encode(argb: np.ndarray, effort: int = 6) -> bytes:
             out.put(kind, 2)
             if image is not None:
                 out.put(bits - 2, 3)
-                _put_stream(out, image, -(-w // (1 << bits)), False, chain)
+                _put_stream(out, image, -(-w // (1 << bits)), False, effort)
         out.put(0, 1)
-        _put_stream(out, _joined(c).ravel().tolist(), w, True, chain)
+        _put_stream(out, _joined(c).ravel(), w, True, effort)
         done.append(out.done())
     return head + min(done, key=len)

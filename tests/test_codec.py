@@ -39,6 +39,31 @@ def test_sizes_follow_effort_and_flat_images_are_small():
     assert len(k.encode(gradient(64, 64), 6)) < len(k.encode(gradient(64, 64), 0))
 
 
+def test_lossless_choices(monkeypatch):
+    """The cache, groups of codes and fits of colours are used where they help, and read back; matches are no farther than can be said."""
+    r = np.random.default_rng(5)
+    few = r.integers(0, 1 << 24, 900)
+    cached = few[(np.cumsum(r.integers(0, 7, (96, 96)) - 3) % 900).reshape(96, 96)] | 0xFF000000
+    v = r.integers(0, 256, (128, 128))
+    halves = 0xFF000000 | np.where(np.arange(128) < 64, v << 16 | v << 8, (v & 7) << 8 | 0x301020)
+    green = r.integers(0, 256, (64, 64))
+    fitted = 0xFF000000 | ((green >> 2) + 7) << 16 | green << 8 | ((green * 3) >> 3)
+    groups, caches, kinds = [], [], []
+    one, of, plans = vp8l._best_cache, vp8l._code_groups, vp8l._plans
+    monkeypatch.setattr(vp8l, "_best_cache", lambda *x: caches.append(one(*x)) or caches[-1])
+    monkeypatch.setattr(vp8l, "_code_groups", lambda *x: groups.append(of(*x)) or groups[-1])
+    monkeypatch.setattr(vp8l, "_plans", lambda *x: kinds.append(plans(*x)) or kinds[-1])
+    for image in (cached, halves, fitted):
+        assert np.array_equal(vp8l.decode(vp8l.encode(image, 6)), image)
+    assert any(caches) and any(g is not None for g in groups)
+    assert 1 in [t[0] for t in kinds[2][0][1]]  # the cheapest plan of the last image has a fit
+    monkeypatch.setattr(vp8l, "FAR", 40)
+    found = vp8l._matches(np.tile(r.integers(0, 1 << 32, 64), 8), 8, 64, True)
+    assert not len(found)
+    found = vp8l._matches(np.tile(r.integers(0, 1 << 32, 32), 8), 8, 64, True)
+    assert found[:, 2].max() <= 40 and found[0].tolist() == [32, 224, 32]
+
+
 def test_minimal_lossless_file():
     data = b"RIFF" + struct.pack("<I", 18) + b"WEBPVP8L" + struct.pack("<I", 5) + bytes([0x2F, 0, 0, 0, 0x10, 0])
     f = webp.features(data)
