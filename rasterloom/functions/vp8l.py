@@ -231,17 +231,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return ((x & 255) ^ 128) - 128
 
 
-def _modes(left: np.ndarray, top: np.ndarray, tl: np.ndarray, tr: np.ndarray) -> np.ndarray:
-    """(14, ..., 4): what each mode predicts from the neighbours, (..., 4) each."""
-    mean = lambda a, b: (a + b) >> 1
-    nearer = (np.abs(left - tl).sum(axis=-1) <= np.abs(top - tl).sum(axis=-1))[..., None]
-    base = mean(left, top)
-    half = base - tl
-    black = np.broadcast_to(np.array([255, 0, 0, 0], left.dtype), left.shape)
-    return np.stack([
-        black, left, top, tr, tl, mean(mean(left, tr), top), mean(left, tl), base, mean(tl, top), mean(top, tr), mean(mean(left, tl), mean(top, tr)),
-        np.where(nearer, top, left), np.clip(left + top - tl, 0, 255), np.clip(base + np.where(half < 0, -(-half // 2), half // 2), 0, 255),
-    ])
+def _modes(left: np.ndarray, top: np.ndarray, tl: np.ndarray, tr: np.ndarray, wanted=range(14)) -> np.ndarray:
+    """(len(wanted), ..., 4): what each mode wanted predicts from the neighbours, (..., 4) each."""
+
+    def mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a + b) >> 1
+
+    def nearer() -> np.ndarray:
+        less = np.abs(left - tl).sum(axis=-1) <= np.abs(top - tl).sum(axis=-1)
+        return np.where(less[..., None], top, left)
+
+    def bent() -> np.ndarray:
+        base = mean(left, top)
+        off = base - tl
+        return np.clip(base + np.where(off < 0, -(-off // 2), off // 2), 0, 255)
+
+    each = (
+        lambda: np.broadcast_to(np.array([255, 0, 0, 0], left.dtype), left.shape), lambda: left, lambda: top, lambda: tr, lambda: tl,
+        lambda: mean(mean(left, tr), top), lambda: mean(left, tl), lambda: mean(left, top), lambda: mean(tl, top), lambda: mean(top, tr),
+        lambda: mean(mean(left, tl), mean(top, tr)), nearer, lambda: np.clip(left + top - tl, 0, 255), bent,
+    )
+    return np.stack([each[m]() for m in wanted])
 
 
 def predictions(c: np.ndarray) -> np.ndarray:
@@ -263,14 +273,15 @@ def _undo_prediction(argb: np.ndarray, modes: list[int], bits: int, width: int,
     mode = np.repeat(np.repeat(tiles, 1 << bits, 0), 1 << bits, 1)[:height, :width].copy()
     mode[mode > 13] = 0
     mode[0], mode[:, 0], mode[0, 0] = 1, 2, 0
-    mode = mode.ravel()
+    wanted, mode = np.unique(mode, return_inverse=True)
+    mode, wanted = mode.ravel(), wanted.tolist()
     c = np.zeros(((height + 1) * width + 1, 4), np.int16)
     c[width + 1 :] = _channels(argb)
     for t in range(width + 2 * height - 2):
         y = np.arange(max(0, (t - width + 2) // 2), min(height - 1, t // 2) + 1)
         i = t + y * (width - 2)
         here = i + width + 1
-        guess = _modes(c[here - 1], c[here - width], c[here - width - 1], c[here - width + 1])
+        guess = _modes(c[here - 1], c[here - width], c[here - width - 1], c[here - width + 1], wanted)
         c[here] = (c[here] + guess[mode[i], np.arange(len(i))]) & 255
     return _joined(c[width + 1 :].astype(np.int64))
 
@@ -508,7 +519,7 @@ def _matches(argb: np.ndarray, width: int, chain: int, lazy: bool) -> np.ndarray
             k, d = _alike(raw, i - width, i, most), width
         p = back[i]
         for _ in range(chain):
-            if p < 0 or i - p > FAR or k >= min(most, 128):
+            if p < 0 or i - p > FAR or k >= min(most, 1024):
                 break
             if px[p + k] == px[i + k]:  # else it can't be longer
                 own = _alike(raw, p, i, most)
@@ -545,8 +556,9 @@ def _cached(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _bits_of(counts: np.ndarray) -> np.ndarray:
     """Estimated bits of symbols so often used and of their code, by the last axis."""
     n = counts.astype(np.float64)
-    total = n.sum(axis=-1)
-    return total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=-1) + 4.0 * (counts > 0).sum(axis=-1)
+    total, used = n.sum(axis=-1), (counts > 0).sum(axis=-1)
+    code = np.where(used > 2, 50 + 5 * used, 12)
+    return total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=-1) + code
 
 
 def _best_cache(argb: np.ndarray, lone: np.ndarray) -> int:
@@ -589,7 +601,7 @@ def _code_groups(tile: np.ndarray, symbols: np.ndarray, tiles: int, base: list[i
         if gains[a, b] <= 0:
             break
         of = np.unique(np.where(of == b, a, of), return_inverse=True)[1]
-    return of if len(h) > 1 and own.sum() + 2.0 * tiles < float(cost(hist.sum(axis=0))) else None
+    return of if len(h) > 1 and own.sum() + 2 * tiles + 200 < float(cost(hist.sum(axis=0))) else None
 
 
 def _each(f, values: np.ndarray) -> np.ndarray:
