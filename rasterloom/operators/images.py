@@ -24,6 +24,8 @@ ERRORS = "error_kind string, error_msg string"
 
 #: Records of an Arrow batch of images.
 BATCH = 16
+#: Pixels of an Arrow batch of the pixel table.
+PIXELS = 1 << 16
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -34,6 +36,30 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.webp") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def listing(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
+    """path, name and length of a folder's own files of the kinds given, in any letter case, in order of their names; no content is read."""
+    found = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return found.where(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*kinds)).orderBy("name")
+
+
+def photos(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,png,JPG,JPEG,PNG}", strict: bool = False) -> DataFrame:
+    """path, width, height and straight RGBA of JPEG and PNG files of every kind that Java's decoders read, by Spark's image source."""
+    import numpy as np
+
+    def of(v) -> tuple:
+        if v["height"] < 0:
+            raise webp.WebpError("bitstream", "not an image that can be read")
+        bgr = np.frombuffer(bytes(v["data"]), np.uint8).reshape(v["height"], v["width"], v["nChannels"])
+        px = np.full((*bgr.shape[:2], 4), 255, np.uint8)
+        px[..., :3] = bgr if v["nChannels"] == 1 else bgr[..., 2::-1]
+        if v["nChannels"] == 4:
+            px[..., 3] = bgr[..., 3]
+        return v["width"], v["height"], px.tobytes()
+
+    found = spark.read.format("image").option("pathGlobFilter", glob).load(path)
+    return _mapped(found.select(F.col("image.origin").alias("path"), "image"), IMAGE, of, "image", strict)
+
+
 def _mapped(df: DataFrame, schema: str, of: Callable, column: str, strict: bool, many: bool = False) -> DataFrame:
     """df's other columns with those that of() makes of column's value: a tuple, or several where many."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -156,10 +182,23 @@ def encoded(images: DataFrame, kind: str = "webp", effort: int = 6, exif: bytes
 
 
 def pixels(images: DataFrame, key: str) -> DataFrame:
-    """The pixel table (img, x, y, r, g, b, a) of decoded images, without Python: bytes are cut out of the binary column."""
-    at = images.select(F.col(key).alias("img"), "width", "rgba", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"))
-    byte = lambda c: F.conv(F.hex(F.expr(f"substring(rgba, p * 4 + {c + 1}, 1)")), 16, 10).cast("long")
-    return at.select("img", F.expr("cast(p % width as bigint)").alias("x"), F.expr("cast(p div width as bigint)").alias("y"), *[byte(c).alias(n) for c, n in enumerate("rgba")])
+    """The pixel table (img, x, y, r, g, b, a) of decoded images, in batches of PIXELS; images without pixels have no rows."""
+    held = images.select(F.col(key).alias("img"), "width", "rgba").where("width > 0 and rgba is not null")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            img, width, rgba = batch.columns
+            for r in range(batch.num_rows):
+                raw, w = np.frombuffer(rgba[r].as_buffer(), np.uint8).reshape(-1, 4), width[r].as_py()
+                for begin in range(0, len(raw), PIXELS):
+                    part = raw[begin : begin + PIXELS].astype(np.int64)
+                    y, x = np.divmod(np.arange(begin, begin + len(part)), w)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(img[r], len(part)), *map(pa.array, (x, y, *part.T))], ["img", "x", "y", *"rgba"])
+
+    return held.mapInArrow(run, f"img {held.schema['img'].dataType.simpleString()}, x long, y long, r long, g long, b long, a long")
 
 
 def register(spark: SparkSession) -> None:

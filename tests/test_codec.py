@@ -179,6 +179,34 @@ def test_files_to_frames_and_back(spark, tmp_path):
         images.features(files, strict=True).collect()
 
 
+def test_photos(spark, tmp_path):
+    px = np.random.default_rng(0).integers(0, 256, (3, 5, 4)).astype(np.uint8)
+    (tmp_path / "b.png").write_bytes(bitmaps.write_png(px))
+    (tmp_path / "C.PNG").write_bytes(b"not a picture")
+    (tmp_path / "note.txt").write_bytes(b"text")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "d.png").write_bytes(bitmaps.write_png(px))
+    jvm = spark._jvm
+    flat = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    grey = jvm.java.awt.image.BufferedImage(2, 1, 10)
+    grey.getRaster().setSample(1, 0, 0, 77)
+    assert jvm.javax.imageio.ImageIO.write(flat, "jpg", jvm.java.io.File(str(tmp_path / "a.jpeg")))
+    assert jvm.javax.imageio.ImageIO.write(grey, "png", jvm.java.io.File(str(tmp_path / "g.png")))
+    assert [r.name for r in images.listing(spark, str(tmp_path)).collect()] == ["C.PNG", "a.jpeg", "b.png", "g.png"]
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.photos(spark, str(tmp_path)).collect()}
+    assert bytes(got["b.png"].rgba) == px.tobytes() and (got["b.png"].width, got["b.png"].height) == (5, 3)
+    assert bytes(got["a.jpeg"].rgba) == bytes([0, 0, 0, 255]) * 128 and bytes(got["g.png"].rgba) == bytes([0, 0, 0, 255, 77, 77, 77, 255])
+    assert got["C.PNG"].rgba is None and got["C.PNG"].error_kind == "bitstream" and len(got) == 4
+
+
+def test_pixel_tables_of_several_batches(spark, monkeypatch):
+    px = gradient(7, 5)
+    rows = spark.createDataFrame([("p", 7, 5, bytearray(px.tobytes())), ("none", None, None, None)], "id string, width int, height int, rgba binary")
+    monkeypatch.setattr(images, "PIXELS", 8)
+    got = {(r.img, r.x, r.y): (r.r, r.g, r.b, r.a) for r in images.pixels(rows, "id").collect()}
+    assert got == {("p", x, y): tuple(px[y, x].tolist()) for y in range(5) for x in range(7)}
+
+
 def test_sql_functions(spark):
     images.register(spark)
     px = gradient(6, 5)
