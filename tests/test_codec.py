@@ -1,5 +1,6 @@
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -156,6 +157,58 @@ def test_bitmaps():
         bitmaps.read_bmp(b"BM" + bytes(60))
 
 
+def png(samples, depth, colour, woven=False, **chunks):
+    """A PNG of (h, w, k) samples, whose lines take the five filters in turn, done byte by byte."""
+    h, w, k = samples.shape
+    step, body = max(1, k * depth // 8), b""
+    for x, y, across, down in bitmaps.WOVEN if woven else ((0, 0, 1, 1),):
+        part = samples[y::down, x::across]
+        if not part.size:
+            continue
+        bits = (part[..., None] >> np.arange(depth)[::-1] & 1).astype(np.uint8).reshape(len(part), -1)
+        rows, before = np.packbits(bits, axis=1), None
+        for n, row in enumerate(rows):
+            line, above = row.tolist(), [0] * len(row) if before is None else before
+            out = [n % 5]
+            for i, v in enumerate(line):
+                a, b, c = line[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+                near = min((a, b, c), key=lambda q: abs(a + b - c - q))
+                out.append((v - (0, a, b, (a + b) // 2, near)[n % 5]) & 255)
+            body, before = body + bytes(out), line
+    head = struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, woven)
+    parts = [(b"IHDR", head), *[(n.encode(), v) for n, v in chunks.items()], (b"IDAT", zlib.compress(body)), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(bitmaps._png_chunk(n, v) for n, v in parts)
+
+
+@pytest.mark.parametrize("woven", [False, True])
+@pytest.mark.parametrize("size", [(1, 1), (3, 2), (11, 13), (1, 9)])
+def test_png_kinds(size, woven):
+    r, (h, w) = np.random.default_rng(7), size
+    opaque = lambda c: np.concatenate([c, np.full((h, w, 1), 255)], axis=2)
+    for colour, (k, depths) in bitmaps.COLOURS.items():
+        for depth in depths:
+            s = r.integers(0, 1 << depth, (h, w, k))
+            if colour == 3:
+                own = r.integers(0, 256, (1 << depth, 4)).astype(np.uint8)
+                data, want = png(s, depth, 3, woven, PLTE=own[:, :3].tobytes(), tRNS=own[:, 3].tobytes()), own[s[..., 0]]
+            else:
+                v = s >> 8 if depth == 16 else s * 255 // ((1 << depth) - 1)
+                data = png(s, depth, colour, woven)
+                want = {1: lambda: opaque(v.repeat(3, 2)), 2: lambda: v[..., [0, 0, 0, 1]], 3: lambda: opaque(v), 4: lambda: v}[k]()
+            assert np.array_equal(bitmaps.read_png(data), want), (colour, depth)
+            if colour in (0, 2):
+                clear = want.copy()
+                clear[(s == s[0, 0]).all(axis=2), 3] = 0
+                assert np.array_equal(bitmaps.read_png(png(s, depth, colour, woven, tRNS=s[0, 0].astype(">u2").tobytes())), clear)
+
+
+def test_damaged_png():
+    s = np.zeros((2, 3, 1), int)
+    for data in (png(s, 8, 0)[:20], png(s + 4, 8, 3, PLTE=bytes(12)), png(s, 8, 0).replace(zlib.compress(bytes([0, 0, 0, 0, 1, 0, 0, 0])), b"x"), png(s, 3, 0)):
+        with pytest.raises(webp.WebpError):
+            bitmaps.read_png(data)
+
+
 def test_files_to_frames_and_back(spark, tmp_path):
     made = {f"a{i}.webp": k.encode(p) for i, p in enumerate(list(some_images())[:12])}
     made |= {"anim.webp": k.encode_animation([(7, gradient(4, 4)), (9, gradient(4, 4)[::-1])]), "bad.webp": b"RIFF....", "text.webp": b"not an image at all"}
