@@ -16,10 +16,11 @@ MODES = 14
 def with_neighbours(pixels: DataFrame, width: int) -> DataFrame:
     """Adds l_, t_, tl_, tr_ of each channel, of images width pixels wide. To the right of the last column stands the row's own first pixel."""
     w = Window.partitionBy("img").orderBy("y", "x")
-    cols = {}
-    for c in f.CHANNELS:
-        cols |= {f"l_{c}": F.lag(c, 1).over(w), f"t_{c}": F.lag(c, width).over(w), f"tl_{c}": F.lag(c, width + 1).over(w), f"tr_{c}": F.lag(c, width - 1).over(w)}
-    return pixels.withColumns(cols)
+    # a pixel's four bytes are one number, so that a window carries one value a neighbour and not four
+    whole = pixels.withColumn("_argb", F.expr("shiftleft(a, 24) | shiftleft(r, 16) | shiftleft(g, 8) | b"))
+    near = whole.withColumns({f"_{p}": F.lag("_argb", back).over(w) for p, back in (("l", 1), ("t", width), ("tl", width + 1), ("tr", width - 1))})
+    cols = {f"{p}_{c}": F.expr(f"shiftright(_{p}, {shift}) & 255") for c, shift in (("r", 16), ("g", 8), ("b", 0), ("a", 24)) for p in ("l", "t", "tl", "tr")}
+    return near.withColumns(cols).drop("_argb", "_l", "_t", "_tl", "_tr")
 
 
 def guess(mode: int, c: str, d: f.Dialect = f.SPARK) -> str:
