@@ -143,11 +143,12 @@ _FRAME = "img % 16384 AS w, (img * 7 + img % 5) % 16384 AS h, CAST(img % 10 = 0
 @query(f"""WITH s AS (SELECT img, {_FRAME} FROM {PART}) SELECT img, w AS width, h AS height, img % 10 <> 0 AND img % 5 <= 3 AND img % 7 <> 0 AND img % 900 < size AND w > 0 AND h > 0 AS valid,
   same AS on_canvas, CASE WHEN img % 2 = 0 THEN 'nycbcra' ELSE 'ycbcr' END AS model FROM s""")
 def lossy_headers(spark, sf_dir):
+    """Frames and canvases made and read back. A canvas has at least one pixel a side, so a frame without any is on one of side 1."""
     own = _part(spark, sf_dir).selectExpr("img", *[x.replace("INTEGER", "int") for x in _FRAME.split(", ")])
-    made = own.select("img", "size", container.lossy_header(F.col("w"), F.col("h"), F.col("bits")).alias("vp8"), container.vp8x_payload(16 * (1 - F.col("img") % 2), F.col("w") + 1 + F.col("same").cast("int") * -1, F.greatest(F.col("h"), F.lit(1))).alias("vp8x"))
+    made = own.select("img", "size", container.lossy_header(F.col("w"), F.col("h"), F.col("bits")).alias("vp8"), container.vp8x_payload(16 * (1 - F.col("img") % 2), F.greatest(F.col("w"), F.lit(1)) + 1 - F.col("same").cast("int"), F.greatest(F.col("h"), F.lit(1))).alias("vp8x"))
     rows = made.select("img", *container.read_lossy(F.col("vp8"), F.col("size")), *container.read_vp8x(F.col("vp8x")))
     model = container.colour_model(F.lit("lossy"), F.col("flags").bitwiseAND(F.lit(webp.ALPHA)) != 0, F.lit(False))
-    return rows.select("img", "width", "height", "valid", ((F.col("canvas_width") == F.col("width")) & (F.col("canvas_height") == F.greatest("height", F.lit(1)))).alias("on_canvas"), model.alias("model"))
+    return rows.select("img", "width", "height", "valid", ((F.col("canvas_width") == F.greatest("width", F.lit(1))) & (F.col("canvas_height") == F.greatest("height", F.lit(1)))).alias("on_canvas"), model.alias("model"))
 
 
 _ANMF = {"fx": "img % 40", "fy": "(img * 3) % 30", "w": "1 + (img * 7) % 200", "h": "1 + (img * 11) % 150", "duration": "(img * 13) % 5000", "flags": "CASE WHEN img % 9 = 0 THEN 4 ELSE 0 END + img % 4"}
