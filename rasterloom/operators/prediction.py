@@ -9,18 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import formulas as f
+from rasterloom.operators.pixels import beside
 
 MODES = 14
 
 
-def with_neighbours(pixels: DataFrame, width: int) -> DataFrame:
-    """Adds l_, t_, tl_, tr_ of each channel, of images width pixels wide. To the right of the last column stands the row's own first pixel."""
+def _near(pixels: DataFrame, width: int) -> DataFrame:
+    """Adds _l, _t, _tl, _tr, the packed neighbours. A pixel's four bytes are one number, so that a window carries one value a neighbour and not four."""
     w = Window.partitionBy("img").orderBy("y", "x")
-    # a pixel's four bytes are one number, so that a window carries one value a neighbour and not four
     whole = pixels.withColumn("_argb", F.expr("shiftleft(a, 24) | shiftleft(r, 16) | shiftleft(g, 8) | b"))
-    near = whole.withColumns({f"_{p}": F.lag("_argb", back).over(w) for p, back in (("l", 1), ("t", width), ("tl", width + 1), ("tr", width - 1))})
+    return whole.withColumns({f"_{p}": F.lag("_argb", back).over(w) for p, back in (("l", 1), ("t", width), ("tl", width + 1), ("tr", width - 1))}).drop("_argb")
+
+
+def _apart(near: DataFrame) -> DataFrame:
+    """l_, t_, tl_, tr_ of each channel, of packed neighbours."""
     cols = {f"{p}_{c}": F.expr(f"shiftright(_{p}, {shift}) & 255") for c, shift in (("r", 16), ("g", 8), ("b", 0), ("a", 24)) for p in ("l", "t", "tl", "tr")}
-    return near.withColumns(cols).drop("_argb", "_l", "_t", "_tl", "_tr")
+    return near.withColumns(cols).drop("_l", "_t", "_tl", "_tr")
+
+
+def with_neighbours(pixels: DataFrame, width: int) -> DataFrame:
+    """Adds l_, t_, tl_, tr_ of each channel, of images width pixels wide. To the right of the last column stands the row's own first pixel."""
+    return _apart(_near(pixels, width))
 
 
 def guess(mode: int, c: str, d: f.Dialect = f.SPARK) -> str:
@@ -69,7 +78,8 @@ def residuals(pixels: DataFrame, modes: DataFrame, width: int, bits: int = 3) ->
     """Pixels less their prediction under their tile's mode, channel by channel modulo 256.
 
     The borders' rules are modes 0, 1 and 2 themselves, so a pixel's own mode settles its prediction."""
-    rows = with_neighbours(pixels, width).withColumns({"tx": F.shiftright("x", bits), "ty": F.shiftright("y", bits)}).join(modes.select("img", "tx", "ty", "mode"), ["img", "tx", "ty"])
+    tiled = _near(pixels, width).withColumns({"tx": F.shiftright("x", bits), "ty": F.shiftright("y", bits)})
+    rows = _apart(beside(tiled, modes.select("img", "tx", "ty", "mode"), ("img", "tx", "ty")))
     cols = {"nearer": F.expr(_NEARER), "mode": F.expr("CASE WHEN y = 0 AND x = 0 THEN 0 WHEN y = 0 THEN 1 WHEN x = 0 THEN 2 ELSE mode END")}
     for c in f.CHANNELS:
         cols |= {f"lt_{c}": F.expr(f.average(f"l_{c}", f"t_{c}")), f"ltl_{c}": F.expr(f.average(f"l_{c}", f"tl_{c}")), f"ttr_{c}": F.expr(f.average(f"t_{c}", f"tr_{c}")), f"black_{c}": F.lit(255 if c == "a" else 0)}
