@@ -30,21 +30,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_image(rows: DataFrame) -> DataFrame:
-    """Rows of images dealt out by image before their pixels are made: pixels then lie by image, and no window or aggregate over images
-    shuffles them again. A number is given, as one left open would be cut to the size of these few rows."""
+def by_image(rows: DataFrame, by: tuple[str, ...] = ("img",)) -> DataFrame:
+    """Rows of images dealt out by image, or by a group of images, before their pixels are made: pixels then lie by it, and no window or
+    aggregate over it shuffles them again. A number is given, as one left open would be cut to the size of these few rows."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "img")
+    return rows.repartition(n, *by)
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 16 x 16 RGB image, one macroblock, for each part."""
-    part = by_image(_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("img"), F.col("p_size").cast("long").alias("sz")))
-    at = part.select("img", "sz", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("pos"))
-    at = at.select("img", "sz", F.expr("pos & 15").alias("x"), F.expr("shiftright(pos, 4)").alias("y"))
-    at = at.select("img", "x", "y", F.expr("(x * x * (1 + img % 3) + y * y * sz + x * y) & 255").alias("l"))
+def tiles(spark: SparkSession, sf_dir: str, groups: dict[str, str] | None = None) -> DataFrame:
+    """A 16 x 16 RGB image, one macroblock, for each part. With groups, further columns by formulas over img, images are dealt out by these."""
+    more = tuple(groups or ())
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("img"), F.col("p_size").cast("long").alias("sz"))
+    part = by_image(part.select("*", *[F.expr(e).alias(n) for n, e in (groups or {}).items()]), more or ("img",))
+    at = part.select(*more, "img", "sz", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("pos"))
+    at = at.select(*more, "img", "sz", F.expr("pos & 15").alias("x"), F.expr("shiftright(pos, 4)").alias("y"))
+    at = at.select(*more, "img", "x", "y", F.expr("(x * x * (1 + img % 3) + y * y * sz + x * y) & 255").alias("l"))
     return at.select(
-        "img", "x", "y",
+        *more, "img", "x", "y",
         F.expr("CASE WHEN img % 2 = 0 THEN (l + img % 5) & 255 ELSE (x * 17) & 255 END").alias("r"),
         F.col("l").alias("g"),
         F.expr("CASE WHEN img % 3 = 0 THEN (y * 17) & 255 ELSE (l + 3) & 255 END").alias("b"),

@@ -5,7 +5,7 @@ Histograms are exploded to one number or a few a row and combined before the shu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import formulas as f
@@ -51,22 +51,16 @@ def token_histograms(tokens: DataFrame, keys: tuple[str, ...] = ("img",)) -> Dat
     return both.select(*keys, F.get(F.array(*map(F.lit, ALPHABETS)), F.col("k").cast("int")).alias("alphabet"), "symbol", "n")
 
 
-def merged(histograms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Histograms added up symbol by symbol."""
-    return histograms.groupBy(*keys, "alphabet", "symbol").agg(F.sum("n").alias("n"))
+def shared_costs(histograms: DataFrame, by: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """Bits of each histogram (keys, of them by) under one code for its group (by): the sum of counts times code lengths, which are whole-bit
+    Shannon lengths of the group's added histograms, one bit at least.
 
-
-def code_lengths(histograms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, alphabet, symbol, bits): whole-bit Shannon code lengths, one bit at least."""
-    totals = histograms.groupBy(*keys, "alphabet").agg(F.sum("n").alias("total"))
-    bits = F.greatest(F.lit(1), F.ceil(F.round(F.log2(F.col("total") / F.col("n")), 9))).cast("long")
-    return histograms.join(totals, [*keys, "alphabet"]).select(*keys, "alphabet", "symbol", bits.alias("bits"))
-
-
-def cost_under(histograms: DataFrame, code: DataFrame, by: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """Bits of each histogram (keys) under the code of its group (by): the sum of counts times lengths."""
-    both = histograms.join(code, [*by, "alphabet", "symbol"])
-    return both.groupBy(*keys).agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    The added counts and their total stand beside each cell by windows over one sort, so no join has to tell how large histograms are."""
+    # ordered by symbol, the alphabet's window has the order that the symbol's window needs
+    alphabet = Window.partitionBy(*by, "alphabet").orderBy("symbol").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = histograms.withColumn("total", F.sum("n").over(alphabet)).withColumn("all_n", F.sum("n").over(Window.partitionBy(*by, "alphabet", "symbol")))
+    bits = F.greatest(F.lit(1), F.ceil(F.round(F.log2(F.col("total") / F.col("all_n")), 9))).cast("long")
+    return cells.groupBy(*keys).agg(F.sum(F.col("n") * bits).alias("bits"))
 
 
 def coefficient_statistics(scanned: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -58,9 +58,9 @@ th AS (SELECT img, alphabet, symbol, count(*) AS n FROM sy GROUP BY ALL UNION AL
   WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.img = i.img AND sy.alphabet = al.alphabet))"""
 
 
-def _tokens(spark, sf_dir):
+def _tokens(spark, sf_dir, groups=None):
     kind = "CASE WHEN (x * 7 + y * 3 + img) % 5 = 0 AND img % 4 <> 0 THEN 'copy' WHEN (x + y) % 6 = 1 THEN 'slot' ELSE 'literal' END as kind"
-    return rasters.tiles(spark, sf_dir).selectExpr("img", kind, "r", "g", "b", "a", "2 + g % 30 as length", "1 + r * 4 + b as distance", "(r + g) % 16 as slot")
+    return rasters.tiles(spark, sf_dir, groups).selectExpr(*(groups or ()), "img", kind, "r", "g", "b", "a", "2 + g % 30 as length", "1 + r * 4 + b as distance", "(r + g) % 16 as slot")
 
 
 @query(f"WITH {_HISTS} SELECT * FROM th")
@@ -72,9 +72,8 @@ def token_histograms(spark, sf_dir):
 c AS (SELECT grp, alphabet, symbol, greatest(1, CAST(ceil(round(log2(sum(n) OVER (PARTITION BY grp, alphabet) / n), 9)) AS BIGINT)) AS bits FROM m)
 SELECT grp, img, CAST(sum(n * bits) AS BIGINT) AS bits FROM th JOIN c ON c.grp = th.img // 10 AND c.alphabet = th.alphabet AND c.symbol = th.symbol GROUP BY grp, img""")
 def code_costs(spark, sf_dir):
-    hists = statistics.token_histograms(_tokens(spark, sf_dir)).withColumn("grp", F.expr("img div 10"))
-    code = statistics.code_lengths(statistics.merged(hists, ("grp",)), ("grp",))
-    return statistics.cost_under(hists, code, ("grp",), ("grp", "img"))
+    tokens = _tokens(spark, sf_dir, {"grp": "img div 10"})
+    return statistics.shared_costs(statistics.token_histograms(tokens, ("grp", "img")), ("grp",), ("grp", "img"))
 
 
 _NODES = " UNION ALL ".join(f"SELECT grp, band, ctx, {n} AS node, CAST({one} AS BIGINT) AS one FROM pl WHERE {a}" for n, a, one in [(0, "(i = 0 OR p > 0) AND i <= last", "i < last"), *[(n, f"i < last AND {a}", one) for n, a, one in statistics.SIZE_NODES]])

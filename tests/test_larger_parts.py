@@ -29,7 +29,7 @@ def test_lossy_headers_of_frames_without_pixels(spark, sf_dir, folder):
     assert compare(registry.QUERIES["lossy_headers"](spark, at), registry.SQL["lossy_headers"], at) == 23
 
 
-@pytest.mark.parametrize("name", ["cross_colour_apply", "cross_colour_fit", "cross_colour_round_trip", "rgb_to_yuv420", "yuv_to_rgb", "predictor_residuals"])
+@pytest.mark.parametrize("name", ["cross_colour_apply", "cross_colour_fit", "cross_colour_round_trip", "rgb_to_yuv420", "yuv_to_rgb", "predictor_residuals", "code_costs"])
 def test_no_table_of_pixels_is_broadcast(spark, sf_dir, name):
     """Spark takes pixels for as few as the rows that they were made from."""
     assert "Broadcast" not in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
