@@ -108,7 +108,7 @@ def _arrays(batch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vocabulary, tokens and document lengths of a block."""
     cell = lambda n: batch.column(batch.schema.get_field_index(n))[r]
     lengths = cell("n_words").values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.frombuffer(cell("vocabulary").as_py(), np.uint64), unplaned(cell("tokens").as_py(), np.int32).astype(np.int64), lengths
+    return np.frombuffer(cell("vocabulary").as_buffer(), np.uint64), unplaned(cell("tokens").as_buffer(), np.int32), lengths
 
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +117,17 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(all_[all_ != 0], return_counts=True)
 
 
+def _keys(grams: list[np.ndarray]) -> np.ndarray:
+    """The distinct n-grams alone. They are sorted in place, as copies of a block's n-grams are what a worker's memory is made of."""
+    all_ = np.concatenate(grams)
+    all_.sort()
+    first = np.empty(len(all_), bool)
+    first[:1] = True
+    np.not_equal(all_[1:], all_[:-1], out=first[1:])
+    first &= all_ != 0
+    return all_[first]
+
+
 def _freed(spark: SparkSession) -> None:
     """Spark deletes shuffle files when the driver collects what refers to them; without this a pass's files may outlast the next pass."""
     gc.collect()
@@ -170,20 +181,34 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
             for r in range(b.num_rows):
                 v, tokens, lengths = _arrays(b, r)
                 grams = ngrams(v, tokens, lengths, order)
-                keys, _ = _distinct(grams)
-                parts = sorted(zip(given.column("part").to_pylist(), given.column("wide").to_pylist(), given.column("totals").to_pylist(), strict=True))
-                totals = np.concatenate([unplaned(t, np.uint64 if w else np.uint32).astype(np.float64) for _, w, t in parts]) if parts else np.zeros(0)
-                count = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))], 0) if len(keys) else np.zeros(0) for g in grams]
+                keys = _keys(grams)
+                order_of = sorted(range(given.num_rows), key=given.column("part").to_pylist().__getitem__)
+                wide, raw = given.column("wide").to_pylist(), given.column("totals")
+                totals = np.concatenate([unplaned(raw[i].as_buffer(), np.uint64 if wide[i] else np.uint32) for i in order_of]) if order_of else np.zeros(0)
+
+                def counted(n: int, grams=grams, keys=keys, totals=totals) -> np.ndarray:
+                    """The counts of the n-grams that end at each word; the n-grams themselves are done with."""
+                    g, grams[n - 1] = grams[n - 1], None
+                    if not len(keys):
+                        return np.zeros(0)
+                    at = np.searchsorted(keys, g)
+                    np.minimum(at, len(keys) - 1, out=at)
+                    found = totals[at].astype(np.float64)
+                    found[g == 0] = 0
+                    return found
+
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                best = np.log(count[0]) - np.log(total) if len(tokens) else np.zeros(0)
+                shorter = counted(1)
+                best = np.log(shorter) - np.log(total) if len(tokens) else np.zeros(0)
                 backed = np.zeros(len(tokens), bool)
                 for n in range(2, order + 1):
-                    have = place >= n - 1
-                    found = have & (count[n - 1] >= min_count)
-                    context = np.append(1.0, count[n - 2][:-1]) if len(tokens) else np.zeros(0)
-                    longer = np.log(np.maximum(count[n - 1], 1)) - np.log(np.maximum(context, 1))
+                    have, count = place >= n - 1, counted(n)
+                    found = have & (count >= min_count)
+                    context = np.append(1.0, shorter[:-1]) if len(tokens) else np.zeros(0)
+                    longer = np.log(np.maximum(count, 1)) - np.log(np.maximum(context, 1))
                     best = np.where(found, longer, np.where(have, best + np.log(backoff), best))
                     backed = np.where(have, ~found, backed)
+                    shorter = count
                 at = np.concatenate([[0], np.cumsum(lengths)])
                 out["doc_id"] += b.column(b.schema.get_field_index("ids"))[r].as_py()
                 out["n_words"] += lengths.tolist()

@@ -61,3 +61,19 @@ def test_query_tells_common_pairs_in_rare_sequences(spark, odd, tmp_path):
 
 def test_against_sql(spark, sf_dir):
     assert compare(op3_lm_scoring(spark, sf_dir), SQL["op3_lm_scoring"], sf_dir) >= 200
+
+
+def test_distinct_ngrams_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    grams = [r.integers(0, 1 << 20, 200_000).astype(np.uint64) for _ in range(3)]
+    grams[1][:1000] = 0
+    tracemalloc.start()
+    keys = m._keys(grams)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys.tolist() == sorted(set(np.concatenate(grams).tolist()) - {0})
+    assert peak < 2.5 * sum(g.nbytes for g in grams)
